@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsymbol.llm import bpe, chat, mixing, neighbours, quality, urls
-from tsymbol.llm.common import table
+from tsymbol.llm import bpe, chat, html, huffman, linededup, minhash, mixing, neighbours, quality, urls
+from tsymbol.llm.common import shared_path, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,34 @@ def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids stand in the Huffman files, and their checksum, read back from the files."""
+    folder = shared_path(spark, "huffman")
+    huffman.write(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return huffman.read(spark, folder)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     made = mixing.plan(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op8_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: distinct 3-word shingles, similarity of 85 of 100 or more."""
+    return minhash.link(table(spark, sf_dir, "documents", "doc_id", "text"), minhash.Near(percent=85, shingle=3))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the later copies of repeated line runs."""
+    return linededup.dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 #: Rules of the registered query: a host with its subdomains, a beginning of the path, and what holds there.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
@@ -57,7 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_repetition": op2_quality_repetition,
     "op3_nearest": op3_nearest,
     "op4_chat_prefixes": op4_chat_prefixes,
+    "op5_page_text": op5_page_text,
+    "op6_huffman_ids": op6_huffman_ids,
     "op7_source_mixing": op7_source_mixing,
+    "op8_minhash_near": op8_minhash_near,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_templates": op10_url_templates,
 }
 
