@@ -77,14 +77,15 @@ def segment(flat: np.ndarray, sizes: np.ndarray, tol: float, max_len: float = np
     return Pieces(np.bincount(who, minlength=n), length[by].astype(np.int64), rise[by], error[by], end[by])
 
 
-def segment_directly(x: np.ndarray, tol: float, max_len: float = np.inf) -> list[tuple[int, float, float]]:
-    """The same for one series, with every distance summed point by point; a check of segment()."""
+def segment_directly(x: np.ndarray, tol: float, max_len: float = np.inf, norm: int = 2) -> list[tuple[int, float, float]]:
+    """The same for one series, with every distance summed point by point; a check of segment(). norm 1 sums absolute distances.
+    A bound of tol^2 a point is segment() with tol squared."""
     out, s, e = [], 0, 1
     last = None
     while e < len(x):
         m = e - s
         line = x[s] + (x[e] - x[s]) / m * np.arange(m + 1)
-        d = float(((line - x[s : e + 1]) ** 2).sum())
+        d = float((np.abs(line - x[s : e + 1]) ** norm).sum())
         if m == 1 or (d <= tol * (m - 1) + EPSILON and m - 1 < max_len):
             last, e = (m, float(x[e] - x[s]), d), e + 1
         else:
