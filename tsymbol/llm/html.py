@@ -36,13 +36,16 @@ NAMES = re.compile(
     r"comment|comments|commentlist|disqus|replies|reply|respond|discussion|form|widget|tags|meta|byline-share|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 ).search
+#: Of these, what an article or main element can be named that is none of the page's content.
+ASIDES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|related|recommended|promo|sponsored|advert|ad|ads|widget)(?:$|[\s_-])", re.IGNORECASE).search
 
 
 class Lines(HTMLParser):
-    """Collects [text, tags, region, whether in an article] of each line."""
+    """Collects (text, tags, region, whether in an article) of each line; by_name: whether names tell what isn't content."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, region, dropped, in an article
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
@@ -80,14 +83,12 @@ class Lines(HTMLParser):
                     break
                 if self.open[k][0] in BLOCK:
                     break
-        elif tag == "li" or tag == "td" or tag == "tr":
-            pass
         if tag in BLOCK:
             self.end_line()
         _, region, dropped, inside = self.now()
         if tag == "body":
             dropped = False  # a head that was never closed ends here
-        own = tag in DROPPED or (tag not in ("html", "body") and any(v and NAMES(v) for k, v in attrs if k in ("class", "id", "role")))
+        own = tag in DROPPED or (self.by_name and tag not in ("html", "body") and self.named_aside(tag, attrs))
         if tag in ("article", "main") and not own and not dropped:
             inside = True
         if tag in REGION and (tag in ("article", "main") or not inside):
@@ -95,11 +96,12 @@ class Lines(HTMLParser):
             region = self.regions
         self.open.append((tag, region, dropped or own, inside))
 
+    def named_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        tells = ASIDES if tag in ("article", "main") else NAMES
+        return any(v and tells(v) for k, v in attrs if k in ("class", "id", "role"))
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML has no other elements that close themselves
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # only void elements close themselves in HTML
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -121,12 +123,17 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str, *, sigma: float = 1.0, share: float = 0.1) -> str:
-    parser = Lines()
+def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, int, bool]]:
+    parser = Lines(by_name)
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    return parser.lines
+
+
+def main_text(html: str, *, sigma: float = 1.0, share: float = 0.1) -> str:
+    """The text of a page. Where names of elements would drop all of it (a wrapper named after its sidebar), they don't count."""
+    lines = lines_of(html) or lines_of(html, by_name=False)
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], float)
