@@ -32,7 +32,7 @@ class Rules:
     min_doc_words: int = 10
     min_words: int = 5  # a repeat has so many words at least
     max_repeat_percent: int = 20  # words inside such repeats, base rule and covered fraction
-    max_longest_percent: int = 20  # longest repeat, in words of the document
+    max_longest_percent: int = 10  # longest repeat, in words of the document; the base rule bounds it unless it overlaps itself
     longest_floor: int = 50  # shorter longest repeats pass always
 
 
