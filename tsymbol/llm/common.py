@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space; words are the runs of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_made: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,18 +35,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.add(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tsymbol_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     path = getattr(df, "_tsymbol_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+        _made.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has materialised and not discarded; call it once results have been written."""
+    for path in list(_made):
+        _delete(spark, path)
+    _made.clear()
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:
