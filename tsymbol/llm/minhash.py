@@ -4,9 +4,9 @@
    and one key for each band of `rows` minima. Texts with equal sets make one class; classes are the nodes.
 2. In each band bucket every node is compared with the bucket's least node only (a star), at first with one leader each.
    Components of the confirmed links follow; further leaders are tried where the ends still lie apart.
-3. Buckets whose nodes still lie in several components are settled by tiles of their signatures: numpy compares blocks of
-   bounded size inside a task, only pairs across components whose posterior survives leave it, and exact sets confirm them.
-   So no group is expanded into its pairs, and no candidate pair that could join two components is left out.
+3. Buckets whose nodes still lie in several components are settled in tiles of bounded size inside a task: pairs across
+   components are verified and confirmed there, and only links that join two components leave it. So no group is expanded
+   into its pairs, and no candidate pair that could join two components is left out.
 
 Verification compares signatures in batches of `batch` minima. With a uniform prior for the similarity, m equal minima of n
 leave P(similarity >= t | m, n) = P(Binomial(n + 1, t) <= m); a pair is dropped once that is below `miss`.
@@ -62,7 +62,7 @@ class _Hash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -155,6 +155,16 @@ def survives(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
     return out
 
 
+def similar(x: np.ndarray, y: np.ndarray, near: Near) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < near.percent * len(y):  # not even as a part
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= near.percent * (len(x) + len(y) - both)
+
+
 def _text_parts(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(batch.column(batch.num_columns - 1).to_pandas().str.len().to_numpy()) if batch.num_rows else []
     begun = 0
@@ -166,9 +176,9 @@ def _text_parts(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.Rec
 
 
 def _sketch(df: DataFrame, near: Near, text: str, key: str) -> DataFrame:
-    """(doc_id, n, s1, s2, sig, bands): s1 and s2 are two 64-bit sums over the set; sig and bands are null for empty sets."""
+    """(doc_id, n, s1, s2, bands): s1 and s2 are two 64-bit sums over the set; bands are null for empty sets."""
     source = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, sig binary, bands array<long>"
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, bands array<long>"
     rows = near.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +187,14 @@ def _sketch(df: DataFrame, near: Near, text: str, key: str) -> DataFrame:
                 flat, size = shingles(part.column(1).to_pylist(), near.shingle, near.seed)
                 full = np.flatnonzero(size)
                 sums = np.zeros((2, len(size)), U64)
-                sig, bands = [None] * len(size), [None] * len(size)
+                bands = [None] * len(size)
                 if len(full):
                     begin = (np.cumsum(size) - size)[full]
                     sums[0, full], sums[1, full] = np.add.reduceat(_mix(flat + U64(1)), begin), np.add.reduceat(_mix(flat ^ U64(0xABCDEF)), begin)
-                    made = signatures(flat, size[full], near)
-                    keys = band_keys(made, rows)
+                    keys = band_keys(signatures(flat, size[full], near), rows)
                     for i, k in enumerate(full):
-                        sig[k], bands[k] = made[i].tobytes(), keys[i]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "sig", "bands"])
+                        bands[k] = keys[i]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "bands"])
 
     return source.mapInArrow(run, schema)
 
@@ -199,13 +208,11 @@ def _confirm(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u_sig, v_sig = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
+            u_sig, v_sig = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
             passed = np.flatnonzero(survives(u_sig, v_sig, near))
             linked = []
             for k in passed.tolist():
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), U64) for c in (4, 5))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= near.percent * (len(x) + len(y) - both):
+                if similar(*(np.frombuffer(batch.column(c)[k].as_py(), U64) for c in (4, 5)), near):
                     linked.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).take(pa.array(linked, pa.int64()))
 
@@ -213,28 +220,39 @@ def _confirm(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 def _settle(open_: DataFrame, near: Near) -> DataFrame:
-    """From (key, cx, cy, side, node, comp, sig), tile by tile: pairs across components that pass sequential verification."""
-    rows = open_.repartition("key", "cx", "cy").sortWithinPartitions("key", "cx", "cy", "side", "node").select("key", "cx", "cy", "side", "node", "comp", "sig")
+    """From (key, cx, cy, side, node, comp, sig, items), tile by tile: exact links that join two components.
+
+    A tile keeps the components of its nodes. Pairs within one aren't compared; of the others, those that pass sequential
+    verification are confirmed by their sets, the most alike first, and a link merges its components at once. So a tile gives
+    fewer links than it has nodes, however many pairs are similar."""
+    rows = open_.repartition("key", "cx", "cy").sortWithinPartitions("key", "cx", "cy", "side", "node").select("key", "cx", "cy", "side", "node", "comp", "sig", "items")
 
-    def pairs(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: list, square: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), -1)
+    def links(held: list[tuple], square: bool) -> list[tuple[int, int]]:
+        side, node, comp, sig, items = zip(*held, strict=True)
+        m = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
+        side, comp, out = np.array(side), np.array(comp), []
         right = np.arange(len(node)) if square else np.flatnonzero(side == 1)
         for i in np.arange(len(node)) if square else np.flatnonzero(side == 0):
             other = right[right > i] if square else right
             other = other[comp[other] != comp[i]]
+            if not len(other):
+                continue
             other = other[survives(np.broadcast_to(m[i], (len(other), m.shape[1])), m[other], near)]
-            if len(other):
-                yield np.full(len(other), node[i]), node[other]
+            for k in other[np.argsort(-(m[other] == m[i]).sum(1), kind="stable")].tolist():
+                if comp[k] != comp[i]:
+                    if similar(np.frombuffer(items[i], U64), np.frombuffer(items[k], U64), near):
+                        out.append((node[i], node[k]))
+                        comp[comp == comp[k]] = comp[i]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         tile = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                side, node, comp, sig = zip(*held, strict=True)
-                for u, v in pairs(np.array(node), np.array(comp), np.array(side), sig, tile[1] == tile[2]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            if len(held) > 1 and (made := links(held, tile[1] == tile[2])):
+                u, v = (np.array(x, np.int64) for x in zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
         for batch in batches:
             for key, cx, cy, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -252,14 +270,14 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
     near = near or Near()
     sketch = materialise(_sketch(df, near, text, key), "near-sketch")
     full = sketch.filter("n > 0")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("x"))
-    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "x.sig", "x.bands"), "near-classes")
+    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "bands"), "near-classes")
     member = classes.select("node", F.explode("bands").alias("key"))
     shared = materialise(member.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
     member = materialise(member.join(shared, "key"), "near-members")
     star = member.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     # exact sets of the nodes that share a bucket, from the texts of one row each
-    ids = member.select("node").distinct().join(classes.select("node", "rep", "n", "s1", "s2", "sig"), "node")
+    ids = member.select("node").distinct().join(classes.select("node", "rep", "n", "s1", "s2"), "node")
     texts = df.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("x"))
     sets = materialise(_pick(ids, texts, near), "near-sets")
     first = star.groupBy("u").agg(F.min("v").alias("v"))
@@ -273,14 +291,14 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
     now = member.join(comp, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b and a is not null").select("key")
     # a bucket of two was compared whole as a star
-    left = now.filter("size > 2").join(mixed, "key").join(classes.select("node", "sig"), "node")
+    left = now.filter("size > 2").join(mixed, "key").join(sets, "node")
     chunks = F.ceil(F.col("size") / near.tile).cast("int")
     mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
     left = left.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    open_ = left.select("key", F.least("mine", "other").alias("cx"), F.greatest("mine", "other").alias("cy"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig")
-    found = materialise(_settle(open_, near), "near-open")
+    open_ = left.select("key", F.least("mine", "other").alias("cx"), F.greatest("mine", "other").alias("cy"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig", "items")
+    found = materialise(_settle(open_, near), "near-links")
     if not found.isEmpty():
-        links = links.unionAll(materialise(_confirm(found, sets, near), "near-links"))
+        links = links.unionAll(found)
         comp = materialise(components(links), "near-components")
     named = classes.select("node", "n", "s1", "s2", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -291,17 +309,20 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
 
 
 def _pick(ids: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """(node, sig, items) of ids(node, rep, n, s1, s2, sig): of the rows with that id, the one with that set."""
-    rows = ids.join(texts, ids.rep.eqNullSafe(texts.rep)).select("node", "sig", ids.n, "s1", "s2", "x")
+    """(node, sig, items) of ids(node, rep, n, s1, s2): of the rows with that id, the one with that set. The signature's minima are
+    kept to 16 bits, items are the sorted shingle hashes."""
+    rows = ids.join(texts, ids.rep.eqNullSafe(texts.rep)).select("node", ids.n, "s1", "s2", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in _text_parts(whole):
-                flat, size = shingles(part.column(5).to_pylist(), near.shingle, near.seed)
+                flat, size = shingles(part.column(4).to_pylist(), near.shingle, near.seed)
                 sets = np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
-                want = [np.array(part.column(k).to_pylist(), np.int64) for k in (2, 3, 4)]
-                fits = [len(x) == want[0][i] and np.add.reduce(_mix(x + U64(1))).view(np.int64) == want[1][i] and np.add.reduce(_mix(x ^ U64(0xABCDEF))).view(np.int64) == want[2][i] for i, x in enumerate(sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "sig", "items"]).filter(pa.array(fits, pa.bool_()))
+                want = [np.array(part.column(k).to_pylist(), np.int64) for k in (1, 2, 3)]
+                fits = np.array([len(x) == want[0][i] and np.add.reduce(_mix(x + U64(1))).view(np.int64) == want[1][i] and np.add.reduce(_mix(x ^ U64(0xABCDEF))).view(np.int64) == want[2][i] for i, x in enumerate(sets)], bool)
+                chosen = [x for x, ok in zip(sets, fits, strict=True) if ok]
+                sig = signatures(np.concatenate(chosen), size[fits], near).astype(np.uint16) if chosen else []
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fits)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in chosen], pa.binary())], names=["node", "sig", "items"])
 
     return rows.mapInArrow(run, "node long, sig binary, items binary").dropDuplicates(["node"])
 
