@@ -3,8 +3,7 @@
 A word (one match of the split pattern) becomes rows (word, pos, npos, tok, nxt), one for each token, linked to its right
 neighbour. A recursive query joins the rows with the merge table, contracts the leftmost pair of least rank of each word and
 goes on until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates their bytes in order of
-position. A Python worker keeps what it has encoded (its memory of that is bounded and only
-spares work).
+position. A task keeps what it has encoded, within a bound, to spare work.
 
 Defined results: a null text counts as empty; an empty text has no ids, the empty digest and the empty decoded text. Repeated rows each give a row.
 Extra columns of the input are kept where `columns` names them. A word of any length is encoded exactly: long ones take the
@@ -16,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsymbol.llm.split import splitter
+
 #: Words of more bytes take the form of the query for long words.
 LONG = 48
-#: Distinct words that a worker keeps; beyond, it forgets all and starts again.
-CACHE = 500_000
-#: White space but for the space and the line feed.
-SPACES = [c for c in map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) if c != "\n"]
+#: Distinct words that a task keeps; beyond, it forgets all and starts again.
+CACHE = 400_000
 #: Distinct words that go through one query.
 BATCH = 40_000
 #: Steps of a query for long words, after which it starts again from its last rows.
@@ -86,9 +86,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
-        import regex
 
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a, b, k) for whole, k in ranks.items() for i in range(1, len(whole)) if (a := ranks.get(whole[:i])) is not None and (b := ranks.get(whole[i:])) is not None]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
@@ -98,7 +97,6 @@ class Codec:
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._load("merges", {"l": left, "r": right, "k": rank, "safe": least[rank] > rank})
         self._load("vocabulary", {"tok": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [x.decode("latin-1") for x in ranks]})
-        self.plain = pattern == DEFAULT_PATTERN
         self.said: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
 
@@ -156,48 +154,39 @@ class Codec:
             self.said.update((w, " ".join(said[ends[k] : ends[k + 1]])) for k, w in enumerate(part))
             self.back.update(zip(part, self._decode_rows(word, tok, len(part)), strict=True))
 
-    def words(self, text: str) -> list[str]:
-        """The matches of the pattern. With the default one, every space before a visible character begins a word, so that a
-        text without other spaces falls apart at them, and only parts that aren't known as one word need the pattern."""
-        if self.plain and text and not (other_space(text) or "  " in text or " \n" in text or text[-1] == " "):
-            first, *rest = text.split(" ")
-            out, said, split = self.split(first), self.said, self.split
-            for part in map(" ".__add__, rest):
-                if part in said:
-                    out.append(part)
-                else:
-                    out += split(part)
-            return out
-        return self.split(text)
-
     def batch(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text: its ids as decimals joined by a space, their number, and the bytes that they decode to."""
         for i in range(0, len(texts), 1000):
             if len(self.said) > CACHE:
-                self.said.clear()
-                self.back.clear()
-            words = [self.words(x) for x in texts[i : i + 1000]]
-            self.learn(list(set().union(*words) - self.said.keys()))
-            said, back = self.said.__getitem__, self.back.__getitem__
+                self.forget()
+            words = [self.split(x) for x in texts[i : i + 1000]]
+            distinct = set().union(*words)
+            self.learn([w for w in distinct if w not in self.said])
+            # small dictionaries stay in the processor's cache
+            said, back = ({w: kept[w] for w in distinct}.__getitem__ for kept in (self.said, self.back))
             for x in words:
                 ids = " ".join(map(said, x))
                 yield ids, ids.count(" ") + bool(ids), b"".join(map(back, x))
 
-
-def other_space(text: str) -> bool:
-    """Whether a text has white space other than the space and the line feed."""
-    return any(x in text for x in SPACES)
+    def forget(self) -> None:
+        self.said.clear()
+        self.back.clear()
 
 
 _codecs: dict[str, Codec] = {}
 
 
-def _codec(vocabulary) -> Codec:
+@contextmanager
+def _codec(vocabulary) -> Iterator[Codec]:
+    """The process's codec. What it has learned goes with the task: the next one in this process may be another operator's."""
     key, ranks, pattern = vocabulary.value
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+    try:
+        yield _codecs[key]
+    finally:
+        _codecs[key].forget()
 
 
 def _broadcast(df: DataFrame, path: str, pattern: str | None):
@@ -218,15 +207,15 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for whole in batches:
-            for part in _narrow(whole):
-                got = list(codec.batch(part.column(part.num_columns - 1).to_pylist()))
-                lists = [np.array(x[0].split(" "), np.int32) if x[1] else np.empty(0, np.int32) for x in got]
-                offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                values = pa.array(np.concatenate([*lists, np.empty(0, np.int32)]))
-                columns = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, values)] + [pa.array([x[2] for x in got], pa.binary())] * bool(decoded)
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for part in _narrow(whole):
+                    got = list(codec.batch(part.column(part.num_columns - 1).to_pylist()))
+                    lists = [np.array(x[0].split(" "), np.int32) if x[1] else np.empty(0, np.int32) for x in got]
+                    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                    values = pa.array(np.concatenate([*lists, np.empty(0, np.int32)]))
+                    columns = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, values)] + [pa.array([x[2] for x in got], pa.binary())] * bool(decoded)
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -238,11 +227,11 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str, ...]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for whole in batches:
-            for part in _narrow(whole, 500):
-                lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(lists), pa.binary())], names=[f.name for f in schema])
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for part in _narrow(whole, 500):
+                    lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(lists), pa.binary())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -254,11 +243,12 @@ def digests(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ..
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sha = _codec(vocabulary), hashlib.sha256
-        for whole in batches:
-            for part in _narrow(whole):
-                got = [(n, sha(said.encode()).hexdigest(), sha(back).hexdigest()) for said, n, back in codec.batch(part.column(part.num_columns - 1).to_pylist())]
-                n, ids, back = zip(*got, strict=True) if got else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
+        sha = hashlib.sha256
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for part in _narrow(whole):
+                    got = [(n, sha(said.encode()).hexdigest(), sha(back).hexdigest()) for said, n, back in codec.batch(part.column(part.num_columns - 1).to_pylist())]
+                    n, ids, back = zip(*got, strict=True) if got else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
