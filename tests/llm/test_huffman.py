@@ -67,6 +67,15 @@ def test_files_equal_the_library(spark, tmp_path, monkeypatch, block):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(x), crc(x)) for i, x in want)
 
 
+def test_both_ways_of_learning_agree():
+    words = hf.Words(open(PATH, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    some = [t for _, t in texts() if t] + ["\x00\x7f\xad ÿ", "'s 12 --"]
+    short = list(words.batch(some))
+    words.known.clear()
+    words.model = None
+    assert list(words.batch(some)) == short
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     hf.write(df, f"file://{tmp_path}/e", PATH, buckets=2)

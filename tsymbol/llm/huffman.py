@@ -13,9 +13,11 @@ order of their ids' bytes; null doc_ids come first. An empty table gives a folde
 
 from __future__ import annotations
 
-import heapq
+import json
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsymbol.llm.common import discard, materialise
+from tsymbol.llm.split import splitter
 
 LIMIT, STRIDE, BLOCK = 20, 128, 1 << 17
-CACHE = 500_000
+CACHE = 450_000
 
 
 # --- codes
@@ -116,26 +119,45 @@ class Code:
 # --- encoding texts
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes in: printable ones stand for themselves, the others follow from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Words:
     """Ids of words by a tokenizer of the tokenizers library, kept for the next texts (bounded)."""
 
     def __init__(self, spec: str, pattern: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
+        # without a normalizer, a byte-level tokenizer's ids of a word are its model's ids of the word's bytes in byte letters
+        parts = json.loads(spec)
+        before = parts["pre_tokenizer"] or {}
+        plain = parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        self.model, self.letters = (self.tokenizer.model, byte_letters()) if plain else (None, {})
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
-            cuts = [0, *(4 * np.searchsorted(of, np.arange(1, len(part)))).tolist(), 4 * len(ids)]
-            packed = ids.tobytes()
-            self.known.update((w, packed[cuts[k] : cuts[k + 1]]) for k, w in enumerate(part))
+        if self.model is None:
+            for i in range(0, len(words), 20_000):
+                self._learn_whole(words[i : i + 20_000])
+            return
+        merge, letters, known = self.model.tokenize, self.letters, self.known
+        for w in words:
+            ids = [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]
+            known[w] = pack(f"<{len(ids)}I", *ids)
+
+    def _learn_whole(self, words: list[str]) -> None:
+        made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
+        cuts = [0, *(4 * np.searchsorted(of, np.arange(1, len(words)))).tolist(), 4 * len(ids)]
+        packed = ids.tobytes()
+        self.known.update((w, packed[cuts[k] : cuts[k + 1]]) for k, w in enumerate(words))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as packed unsigned 32-bit integers. The tokenizer's own splitting uses the same pattern, and
@@ -144,21 +166,28 @@ class Words:
             if len(self.known) > CACHE:
                 self.known.clear()
             words = [self.split(x) for x in texts[i : i + 1000]]
-            self.learn(list(set().union(*words) - self.known.keys()))
-            known = self.known.__getitem__
+            distinct = set().union(*words)
+            self.learn([w for w in distinct if w not in self.known])
+            own = {w: self.known[w] for w in distinct}.__getitem__  # a small dictionary stays in the processor's cache
             for x in words:
-                yield b"".join(map(known, x))
+                yield b"".join(map(own, x))
 
 
 _made: dict[int, Words] = {}
 
 
-def _words(shared) -> Words:
+@contextmanager
+def _words(shared) -> Iterator[Words]:
+    """The process's words. What they have learned goes with the task."""
     spec, pattern = shared.value
-    if hash((spec, pattern)) not in _made:
+    key = hash((spec, pattern))
+    if key not in _made:
         _made.clear()
-        _made[hash((spec, pattern))] = Words(spec, pattern)
-    return _made[hash((spec, pattern))]
+        _made[key] = Words(spec, pattern)
+    try:
+        yield _made[key]
+    finally:
+        _made[key].known.clear()
 
 
 def _staged(df: DataFrame, path: str, text: str, key: str, end: int, buckets: int) -> DataFrame:
@@ -175,14 +204,15 @@ def _staged(df: DataFrame, path: str, text: str, key: str, end: int, buckets: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, squeeze = _words(shared), zstandard.ZstdCompressor(level=1).compress
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                part = whole.slice(at, 2000)
-                ids = [x + tail for x in words.batch(part.column(1).to_pylist())]
-                least = np.iinfo(np.int64).min
-                bucket = np.searchsorted(bounds, part.column(0).fill_null(least).to_numpy(), side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([squeeze(_narrow(x)) for x in ids], pa.binary())], names=["bucket", "doc_id", "n", "ids"])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        with _words(shared) as words:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    part = whole.slice(at, 2000)
+                    ids = [x + tail for x in words.batch(part.column(1).to_pylist())]
+                    least = np.iinfo(np.int64).min
+                    bucket = np.searchsorted(bounds, part.column(0).fill_null(least).to_numpy(), side="right").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([squeeze(_narrow(x)) for x in ids], pa.binary())], names=["bucket", "doc_id", "n", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
@@ -236,7 +266,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, *, text: str = "text", key
     spark.createDataFrame([(i, n) for i, n in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codes")
     code = spark.sparkContext.broadcast(Code(lengths))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         loosen = zstandard.ZstdDecompressor().decompress
@@ -263,7 +293,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, *, text: str = "text", key
         if held:
             yield close()
 
-    staged.select("bucket", "place", "doc_id", "ids").mapInArrow(pack, "bucket int, start long, n long, doc_ids array<long>, sizes array<long>, bits binary, checkpoints array<long>").write.parquet(f"{folder}/blocks")
+    staged.select("bucket", "place", "doc_id", "ids").mapInArrow(blocks, "bucket int, start long, n long, doc_ids array<long>, sizes array<long>, bits binary, checkpoints array<long>").write.parquet(f"{folder}/blocks")
     discard(staged)
 
 
