@@ -58,3 +58,40 @@ def test_keeping_leaves_the_columns_alone(spark):
     assert kept.schema == df.schema
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts()) if brute(t, q.Rules())[6]]
     assert q.keep_good(df.filter("false")).count() == 0 and q.measure(df.filter("false")).count() == 0
+
+
+def unlike(rng, n):
+    """n words that repeat nothing of length."""
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+
+
+def test_limits_over_characters_reject_what_the_base_rule_keeps():
+    rng = random.Random(5)
+    passage, short, rest = unlike(rng, 270), unlike(rng, 105), unlike(rng, 3000)
+    glued = "".join(unlike(rng, 100))
+    cases = {
+        "passage twice": rest[:1230] + passage + rest[1230:2460] + passage,
+        "longest only": rest[:1400] + passage[:135] + rest[1400:2730] + passage[:135],
+        "covered only": rest[:900] + short + rest[900:1800] + short + rest[1800:2685] + short,
+        "inside words": [*rest[:400], glued + "x", *rest[400:800], "y" + glued],
+        "once": rest[:2730] + passage,
+        "a line twice": rest[:200] + passage[:16] + rest[200:400] + passage[:16],
+        "a passage in a long text": rest[:2850] + passage[:60] + passage[100:110] + passage[:60],
+    }
+    got = q._measure([" ".join(x).encode() for x in cases.values()], q.Rules())
+    assert not got["base_failed"].any()
+    assert dict(zip(cases, got["kept"].tolist(), strict=True)) == {k: k in ("once", "a line twice", "a passage in a long text") for k in cases}
+    size, covered, longest = q.char_repeats([" ".join(cases[k]).encode() for k in ("longest only", "covered only")], 200)
+    assert 100 * covered[0] < 10 * size[0] and 100 * longest[0] > 4 * size[0] and 100 * covered[1] > 10 * size[1] and 100 * longest[1] < 4 * size[1]
+
+
+def test_repeats_over_characters_equal_brute_force():
+    rng = random.Random(6)
+    made = ["", "é", "aé" * 30, *("".join(rng.choice("ab é") for _ in range(rng.randint(0, 90))) for _ in range(60))]
+    size, covered, longest = q.char_repeats([x.encode() for x in made], 7)
+    for k, x in enumerate(made):
+        n = len(x)
+        windows = Counter(x[i : i + 7] for i in range(n - 6))
+        inside = {j for i in range(n - 6) if windows[x[i : i + 7]] > 1 for j in range(i, i + 7)}
+        most = max((m for m in range(7, n) if len({x[i : i + m] for i in range(n - m + 1)}) < n - m + 1), default=0)
+        assert (size[k], covered[k], longest[k]) == (n, len(inside), most)

@@ -1,4 +1,4 @@
-"""Quality rules: base counts, and repetition measured with a suffix array over the words of each document.
+"""Quality rules: base counts, and repetition measured with suffix arrays over the words and the characters of each document.
 
 All documents of an Arrow batch share one prefix doubling in numpy: ranks start from (document, word), so that suffixes of
 different documents never meet, and each round sorts only the suffixes that still tie. The ranks of every round give the
@@ -6,6 +6,10 @@ longest common prefix (LCP) of neighbours in the array by descending powers of t
 suffix reaches max(lcp before, lcp after); where it has `min_words` words or more, that prefix is a maximal repeated
 substring's occurrence. The union of these spans gives the covered words, the largest LCP the longest repeat.
 
+The limits over words say no more than the base rule, except of runs that overlap themselves. Documents that pass them are
+measured again over code points, white space included, so inside words too, with repeats of `min_chars` or more and limits of
+their own. A document can hold such a repeat only where two of its windows of `min_chars` hash alike; the others need no array.
+
 Defined results: a null or blank text has no words and fails the base rules. Repeated rows each give a row.
 """
 
@@ -27,13 +31,16 @@ SPACE = b" \t\n\r\x0b\x0c"
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits. A document is kept if it passes the base rules and both limits of the method."""
+    """Limits. A document is kept if it passes the base rules and the limits of the method, over words and over characters."""
 
     min_doc_words: int = 10
     min_words: int = 5  # a repeat has so many words at least
     max_repeat_percent: int = 20  # words inside such repeats, base rule and covered fraction
     max_longest_percent: int = 10  # longest repeat, in words of the document; the base rule bounds it unless it overlaps itself
     longest_floor: int = 50  # shorter longest repeats pass always
+    min_chars: int = 200  # a repeat over characters; twice what lines of clean documents that repeat by chance or by habit reach
+    max_char_percent: int = 10  # characters inside such repeats
+    max_longest_char_percent: int = 4  # longest such repeat; under half of the above, as two copies cover twice their length
 
 
 def suffix_ranks(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -111,6 +118,37 @@ def repeats(doc: np.ndarray, word: np.ndarray, n_docs: int, min_words: int) -> t
     return covered, longest, deepest
 
 
+def suspects(doc: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
+    """The documents in which two windows of `size` characters hash alike: all that repeat so many, and few others."""
+    if len(code) < size:
+        return np.empty(0, np.int64)
+    mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    base = 0xD1342543DE82EF95
+    powers = lambda b: np.cumprod(np.full(len(code), b, np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(mixed * powers(base)))
+    whole = doc[: len(doc) - size + 1] == doc[size - 1 :]
+    at = doc[: len(whole)][whole]
+    window = ((sums[size:] - sums[:-size]) * powers(pow(base, -1, 1 << 64))[: len(whole)])[whole] ^ (at.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    ordered = np.sort(window)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    return np.unique(at[np.isin(window, twice)]) if len(twice) else np.empty(0, np.int64)
+
+
+def char_repeats(texts: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its code points, those inside repeats of min_chars or more, and those of the longest repeat (0 if below)."""
+    coded = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for x in texts]
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    covered, longest = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
+    if size.sum():
+        held = suspects(np.repeat(np.arange(len(coded)), size), np.concatenate(coded), min_chars)
+        if len(held):
+            doc = np.repeat(np.arange(len(held)), size[held])
+            covered[held], most, _ = repeats(doc, np.concatenate([coded[k] for k in held]).astype(np.int64), len(held), min_chars)
+            longest[held] = np.where(most >= min_chars, most, 0)
+    return size, covered, longest
+
+
 _find = re.compile(rb"[#*$%&|<>]").findall
 
 
@@ -129,7 +167,10 @@ def _measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
         dup.append(len(lines) - len(set(lines)))
     failed = (n_words < rules.min_doc_words) | (100 * covered > rules.max_repeat_percent * n_words)
     method = (100 * covered <= rules.max_repeat_percent * n_words) & ((longest < rules.longest_floor) | (100 * longest <= rules.max_longest_percent * n_words))
-    return {"n_words": n_words, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": covered, "base_failed": failed, "kept": ~failed & method, "longest_repeat": longest}
+    kept = ~failed & method
+    size, in_chars, longest_chars = char_repeats([x for x, k in zip(texts, kept, strict=True) if k], rules.min_chars)
+    kept[kept] = (100 * in_chars <= rules.max_char_percent * size) & (100 * longest_chars <= rules.max_longest_char_percent * size)
+    return {"n_words": n_words, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": covered, "base_failed": failed, "kept": kept, "longest_repeat": longest}
 
 
 MEASURES = T.StructType([T.StructField(n, T.BooleanType() if n in ("base_failed", "kept") else T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")])
