@@ -40,3 +40,15 @@ def test_long_page():
 def test_wrappers_named_after_a_part():
     assert html.main_text("<body><div class='with sidebar'><p>All of the text.</p></div></body>") == "All of the text."
     assert html.main_text("<body><div class='menu'>Menu</div><article class='has-sidebar'><p>Text.</p></article></body>") == "Text."
+
+
+def test_regions_of_very_different_length():
+    texts = [f"{k} " + "word " * n for k, n in enumerate((900, 12, 9, 14, 10, 400, 11, 8, 13))]
+    want = "\n".join(x.strip() for x in texts)
+    for a, b in (("<section>", "</section>"), ("<div>", "</div>"), ("<article>", "</article>"), ("<div><div>", "</div></div>")):
+        page = "<body>" + "".join(f"{a}<p>{x}</p>{b}" for x in texts) + "</body>"
+        assert html.main_text(page) == want
+    around = f"<main><p>{texts[1]}</p><article><p>{texts[0]}</p><p>{texts[5]}</p></article><p>{texts[2]}</p></main>"
+    assert html.main_text(around) == "\n".join(texts[k].strip() for k in (1, 0, 5, 2))
+    links = "<div><a href='/'>back</a></div>"
+    assert html.main_text(f"<body>{links}<div><p>{texts[0]}</p></div>{links}<section><p>{texts[3]}</p></section></body>") == "\n".join(texts[k].strip() for k in (0, 3))

@@ -4,8 +4,10 @@ The parser's events stream into lines, a line being the text between two block b
 the region it stands in (the nearest article, main, section, div or the like; an article or main keeps what it holds).
 Regions that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments give no lines.
 The lines' ratios of characters to tags are smoothed with a Gaussian and cut at their standard deviation; lines above are the
-content cluster. A region is content if a content line lies in it and enough of its text does; it is then kept whole, so
-that short paragraphs stay. Where a page has an article or main region, only such regions can be content.
+content cluster. The same is done with ratios capped, so that a very long line doesn't raise the cut over all others. A region
+is content if a content line lies in it, whatever its size beside other regions; it is then kept whole, so that short paragraphs
+stay. Smoothing lends a line its neighbours' ratio: for lines that are links and nothing else it doesn't count, unless their
+region has a tenth of the largest one's content. Where a page has an article or main region, only such regions can be content.
 
 Defined results: a null or empty page, and one without any content, gives an empty text. Broken markup never fails: unclosed
 elements end with the one around them. Repeated rows each give a row.
@@ -41,27 +43,27 @@ ASIDES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, whether in an article) of each line; by_name: whether names tell what isn't content."""
+    """Collects (text, tags, region, whether in an article, whether some of it is no link) of each line; by_name: whether names tell what isn't content."""
 
     def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.by_name = by_name
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, region, dropped, in an article
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, region, dropped, in an article, in a link
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.tags, self.regions, self.plain = 0, 0, False
 
-    def now(self) -> tuple[str, int, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False)
+    def now(self) -> tuple[str, int, bool, bool, bool]:
+        return self.open[-1] if self.open else ("", 0, False, False, False)
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, region, _, inside = self.now()
-                self.lines.append((text, max(1, self.tags), region, inside))
-                self.tags = 0
+                _, region, _, inside, _ = self.now()
+                self.lines.append((text, max(1, self.tags), region, inside, self.plain))
+                self.tags, self.plain = 0, False
 
     def pop_to(self, at: int) -> None:
         if any(x[0] in BLOCK for x in self.open[at:]):
@@ -85,7 +87,7 @@ class Lines(HTMLParser):
                     break
         if tag in BLOCK:
             self.end_line()
-        _, region, dropped, inside = self.now()
+        _, region, dropped, inside, linked = self.now()
         if tag == "body":
             dropped = False  # a head that was never closed ends here
         own = tag in DROPPED or (self.by_name and tag not in ("html", "body") and self.named_aside(tag, attrs))
@@ -94,7 +96,7 @@ class Lines(HTMLParser):
         if tag in REGION and (tag in ("article", "main") or not inside):
             self.regions += 1
             region = self.regions
-        self.open.append((tag, region, dropped or own, inside))
+        self.open.append((tag, region, dropped or own, inside, linked or tag == "a"))
 
     def named_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         tells = ASIDES if tag in ("article", "main") else NAMES
@@ -113,8 +115,10 @@ class Lines(HTMLParser):
                 return  # an inline end tag doesn't close blocks
 
     def handle_data(self, data: str) -> None:
-        if not self.now()[2]:
+        _, _, dropped, _, linked = self.now()
+        if not dropped:
             self.parts.append(data)
+            self.plain = self.plain or not (linked or data.isspace())
 
 
 def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -123,7 +127,7 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, int, bool]]:
+def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, int, bool, bool]]:
     parser = Lines(by_name)
     parser.feed(html)
     parser.close()
@@ -131,21 +135,33 @@ def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, int, bool]
     return parser.lines
 
 
-def main_text(html: str, *, sigma: float = 1.0, share: float = 0.1) -> str:
-    """The text of a page. Where names of elements would drop all of it (a wrapper named after its sidebar), they don't count."""
+def main_text(html: str, *, sigma: float = 1.0, share: float = 0.1, cap: float = 20.0) -> str:
+    """The text of a page. Where names of elements would drop all of it (a wrapper named after its sidebar), they don't count.
+
+    cap: characters a tag from which a line is text, however many more others have."""
     lines = lines_of(html) or lines_of(html, by_name=False)
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], float)
-    smoothed = smooth(chars / np.array([x[1] for x in lines]), sigma)
-    content = smoothed >= min(smoothed.std(), smoothed.max())
+    ratio = chars / np.array([x[1] for x in lines])
+    plain = np.array([x[4] for x in lines])
+    clusters, stands = [], np.zeros(len(lines), bool)
+    for r in (ratio, np.minimum(ratio, cap)):
+        smoothed = smooth(r, sigma)
+        cut = min(smoothed.std(), smoothed.max())
+        clusters.append(smoothed >= cut)
+        stands |= clusters[-1] & (plain | (r >= cut))
     articles = any(x[3] for x in lines)
     total: dict[int, float] = {}
-    for (_, _, region, inside), c, ok in zip(lines, chars, content, strict=True):
+    good = set()
+    for (_, _, region, inside, _), c, ok, alone in zip(lines, chars, clusters[0], stands, strict=True):
         if inside or not articles:
             total[region] = total.get(region, 0.0) + c * (1.0 if ok else 1e-6)
+            if alone:
+                good.add(region)
     least = share * max(total.values())
-    return "\n".join(x[0] for x in lines if total.get(x[2], -1.0) >= least and (x[3] or not articles))
+    good.update(r for r, t in total.items() if t >= least)
+    return "\n".join(x[0] for x in lines if x[2] in good and (x[3] or not articles))
 
 
 def extract(df: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
