@@ -52,12 +52,17 @@ def test_empty_tables_and_unknown_ids(spark):
     assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(df, PATH).collect()} == {1: b"", 2: b"", 3: b"a"}
 
 
-def test_memory_that_overflows_changes_nothing(spark, reference, monkeypatch):
+def test_memory_that_is_full_changes_nothing(reference, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "DECODED", 100)
     codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    codec.texts.most = 3
     for _ in range(2):
-        for t, (said, n, back) in zip(texts()[1:], codec.batch(texts()[1:]), strict=True):
-            assert said == " ".join(map(str, reference.encode_ordinary(t))) and n == len(reference.encode_ordinary(t)) and back == t.encode()
+        ids, size = codec.ids(pa.array(texts()))
+        assert size.tolist() == [len(reference.encode_ordinary(t or "")) for t in texts()]
+        assert ids.tolist() == [i for t in texts() for i in reference.encode_ordinary(t or "")]
+        assert codec.decode(ids, size) == [(t or "").encode() for t in texts()]
 
 
 def test_repeated_rows_stay(spark):

@@ -3,7 +3,7 @@
 A word (one match of the split pattern) becomes rows (word, pos, npos, tok, nxt), one for each token, linked to its right
 neighbour. A recursive query joins the rows with the merge table, contracts the leftmost pair of least rank of each word and
 goes on until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates their bytes in order of
-position. A task keeps what it has encoded, within a bound, to spare work.
+position. Each distinct word is encoded once for a batch of texts; a process keeps the ids of some, within a bound.
 
 Defined results: a null text counts as empty; an empty text has no ids, the empty digest and the empty decoded text. Repeated rows each give a row.
 Extra columns of the input are kept where `columns` names them. A word of any length is encoded exactly: long ones take the
@@ -15,21 +15,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from public_tokenizers import PATTERN as DEFAULT_PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsymbol.llm.split import splitter
+from tsymbol.llm.split import TextIds, parts
 
 #: Words of more bytes take the form of the query for long words.
 LONG = 48
-#: Distinct words that a task keeps; beyond, it forgets all and starts again.
-CACHE = 400_000
+#: Ids that go through one query that decodes.
+DECODED = 2_000_000
 #: Distinct words that go through one query.
 BATCH = 40_000
 #: Steps of a query for long words, after which it starts again from its last rows.
@@ -87,7 +87,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
 
-        self.split = splitter(pattern)
+        self.texts = TextIds(pattern, self.learn)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a, b, k) for whole, k in ranks.items() for i in range(1, len(whole)) if (a := ranks.get(whole[:i])) is not None and (b := ranks.get(whole[i:])) is not None]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
@@ -97,8 +97,7 @@ class Codec:
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._load("merges", {"l": left, "r": right, "k": rank, "safe": least[rank] > rank})
         self._load("vocabulary", {"tok": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [x.decode("latin-1") for x in ranks]})
-        self.said: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.decimals = pa.array([str(i) for i in range(max(ranks.values()) + 1)])
 
     def _load(self, name: str, columns: dict) -> None:
         self.sql.register("arrow_in", pa.table(columns))
@@ -139,54 +138,44 @@ class Codec:
             out[k] = text.encode("latin-1")
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return self._decode_rows(np.repeat(np.arange(len(ids)), size), np.concatenate([*ids, np.empty(0, np.int32)]), len(ids))
+    def decode(self, ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The bytes of each list of ids; the lists stand one after the other, size says how long each is."""
+        ends, out = np.cumsum(size), []
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, max(1, len(ids)), DECODED))) if len(size) else ends
+        for lo, hi in zip(cuts, [*cuts[1:], len(size)][: len(cuts)], strict=True):
+            out += self._decode_rows(np.repeat(np.arange(hi - lo), size[lo:hi]), ids[ends[lo] - size[lo] : ends[hi - 1]], int(hi - lo))
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode and decode words that the memory lacks."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words, packed."""
+        out = []
         for i in range(0, len(words), BATCH):
             part = words[i : i + BATCH]
             word, tok = self.merge([w.encode() for w in part])
-            cuts = np.searchsorted(word, np.arange(1, len(part)))
-            said, ends = list(map(str, tok.tolist())), [0, *cuts.tolist(), len(tok)]
-            self.said.update((w, " ".join(said[ends[k] : ends[k + 1]])) for k, w in enumerate(part))
-            self.back.update(zip(part, self._decode_rows(word, tok, len(part)), strict=True))
-
-    def batch(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each text: its ids as decimals joined by a space, their number, and the bytes that they decode to."""
-        for i in range(0, len(texts), 1000):
-            if len(self.said) > CACHE:
-                self.forget()
-            words = [self.split(x) for x in texts[i : i + 1000]]
-            distinct = set().union(*words)
-            self.learn([w for w in distinct if w not in self.said])
-            # small dictionaries stay in the processor's cache
-            said, back = ({w: kept[w] for w in distinct}.__getitem__ for kept in (self.said, self.back))
-            for x in words:
-                ids = " ".join(map(said, x))
-                yield ids, ids.count(" ") + bool(ids), b"".join(map(back, x))
-
-    def forget(self) -> None:
-        self.said.clear()
-        self.back.clear()
+            cuts, packed = [0, *(4 * np.searchsorted(word, np.arange(1, len(part)))).tolist(), 4 * len(tok)], tok.astype("<u4").tobytes()
+            out += [packed[cuts[k] : cuts[k + 1]] for k in range(len(part))]
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        return self.texts.ids(texts)
+
+    def digests(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
+        """sha256 of each text's ids as decimals joined by a space."""
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), self.decimals.take(pa.array(ids)))
+        return [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(lists, " ").to_pylist()]
 
 
 _codecs: dict[str, Codec] = {}
 
 
-@contextmanager
-def _codec(vocabulary) -> Iterator[Codec]:
-    """The process's codec. What it has learned goes with the task: the next one in this process may be another operator's."""
+def _codec(vocabulary) -> Codec:
+    """The process's codec; what it knows is bounded and stays for the next tasks."""
     key, ranks, pattern = vocabulary.value
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern)
-    try:
-        yield _codecs[key]
-    finally:
-        _codecs[key].forget()
+    return _codecs[key]
 
 
 def _broadcast(df: DataFrame, path: str, pattern: str | None):
@@ -195,11 +184,6 @@ def _broadcast(df: DataFrame, path: str, pattern: str | None):
     return df.sparkSession.sparkContext.broadcast((key, ranks, pattern))
 
 
-def _narrow(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """keep, the token ids of each text as array<int>, and with `decoded` the bytes that they decode to. No shuffle."""
     vocabulary = _broadcast(df, path, pattern)
@@ -207,15 +191,13 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _codec(vocabulary) as codec:
-            for whole in batches:
-                for part in _narrow(whole):
-                    got = list(codec.batch(part.column(part.num_columns - 1).to_pylist()))
-                    lists = [np.array(x[0].split(" "), np.int32) if x[1] else np.empty(0, np.int32) for x in got]
-                    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    values = pa.array(np.concatenate([*lists, np.empty(0, np.int32)]))
-                    columns = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, values)] + [pa.array([x[2] for x in got], pa.binary())] * bool(decoded)
-                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        codec = _codec(vocabulary)
+        for whole in batches:
+            for part in parts(whole):
+                made, size = codec.ids(part.column(part.num_columns - 1))
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(made.astype(np.int32)))
+                back = [pa.array(codec.decode(made, size), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *back], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -227,28 +209,29 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str, ...]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _codec(vocabulary) as codec:
-            for whole in batches:
-                for part in _narrow(whole, 500):
-                    lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(lists), pa.binary())], names=[f.name for f in schema])
+        codec = _codec(vocabulary)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                part = whole.slice(i, 500)
+                lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
+                size = np.fromiter(map(len, lists), np.int64, len(lists))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(np.concatenate([*lists, np.empty(0, np.int32)]), size), pa.binary())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None) -> DataFrame:
-    """keep, n_tokens, ids_sha256 and decoded_sha256, made where the ids are made so that they needn't leave the worker."""
+    """keep, n_tokens, ids_sha256 and decoded_sha256 (of what the document's ids decode to), made where the ids are made so that they needn't leave the worker."""
     vocabulary = _broadcast(df, path, pattern)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("\0text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = hashlib.sha256
-        with _codec(vocabulary) as codec:
-            for whole in batches:
-                for part in _narrow(whole):
-                    got = [(n, sha(said.encode()).hexdigest(), sha(back).hexdigest()) for said, n, back in codec.batch(part.column(part.num_columns - 1).to_pylist())]
-                    n, ids, back = zip(*got, strict=True) if got else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
+        codec = _codec(vocabulary)
+        for whole in batches:
+            for part in parts(whole):
+                ids, size = codec.ids(part.column(part.num_columns - 1))
+                back = [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, size)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size), pa.array(codec.digests(ids, size), pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
