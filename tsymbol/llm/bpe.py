@@ -146,15 +146,14 @@ class Codec:
             out += self._decode_rows(np.repeat(np.arange(hi - lo), size[lo:hi]), ids[ends[lo] - size[lo] : ends[hi - 1]], int(hi - lo))
         return out
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of words, packed."""
-        out = []
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        flat, size = [np.empty(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), BATCH):
-            part = words[i : i + BATCH]
-            word, tok = self.merge([w.encode() for w in part])
-            cuts, packed = [0, *(4 * np.searchsorted(word, np.arange(1, len(part)))).tolist(), 4 * len(tok)], tok.astype("<u4").tobytes()
-            out += [packed[cuts[k] : cuts[k + 1]] for k in range(len(part))]
-        return out
+            word, tok = self.merge([w.encode() for w in words[i : i + BATCH]])
+            flat.append(tok.astype(np.uint32))
+            size.append(np.bincount(word, minlength=len(words[i : i + BATCH])))
+        return np.concatenate(flat), np.concatenate(size)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
