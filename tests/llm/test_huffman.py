@@ -1,6 +1,10 @@
+import os
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +12,9 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from tsymbol.llm import huffman as hf
+from tsymbol.llm import split
 
+DOCUMENTS = "/root/testdata/sf0.1/documents.parquet"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -55,7 +61,6 @@ def test_files_equal_the_library(spark, tmp_path, monkeypatch, block):
     folder = f"file://{tmp_path}/h"
     hf.write(df, folder, PATH, buckets=3)
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     want = [(i, tk.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts()]
     got = sorted(hf.read(spark, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in want), key=lambda i: (i is not None, i or 0))
@@ -67,13 +72,34 @@ def test_files_equal_the_library(spark, tmp_path, monkeypatch, block):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(x), crc(x)) for i, x in want)
 
 
-def test_both_ways_of_learning_agree():
-    words = hf.Words(open(PATH, encoding="utf-8").read(), public_tokenizers.PATTERN)
-    some = [t for _, t in texts() if t] + ["\x00\x7f\xad ÿ", "'s 12 --"]
-    short = list(words.batch(some))
-    words.known.clear()
-    words.model = None
-    assert list(words.batch(some)) == short
+def ids_of(texts):
+    library = hf.Library(open(PATH, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    ids, size = library.ids(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+
+def test_ids_of_texts_equal_the_library():
+    rng = random.Random(4)
+    tk = Tokenizer.from_file(PATH)
+    made = [t for _, t in texts()] + ["\x00\x7f\xad ÿ", "'s 12 --", " a", "a ", " ", "a  b", "a \n b", "x\xa0 y\x85 z", "a\x1c b", "\u2003 x y", "it's don't 'll", "a <|endoftext|> b  c", "<|endoftext|>"]
+    made += ["".join(rng.choice(["a", "B", " ", " ", "\n", "\t", "é", "世", "'s", "1", ".", ",", "\xa0", "\r\n", "<|endoftext|>"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert ids_of(made) == [tk.encode(t or "", add_special_tokens=False).ids for t in made]
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="the driver's tables are not here")
+def test_all_documents_equal_the_library():
+    tk, library = Tokenizer.from_file(PATH), hf.Library(open(PATH, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    for batch in pq.ParquetFile(DOCUMENTS).iter_batches(1000, columns=["text"]):
+        ids, size = library.ids(batch.column(0))
+        want = [x.ids for x in tk.encode_batch_fast([t or "" for t in batch.column(0).to_pylist()], add_special_tokens=False)]
+        assert [len(x) for x in want] == size.tolist() and sum(want, []) == ids.tolist()
+
+
+def test_memory_that_is_full_changes_nothing(monkeypatch):
+    want = ids_of([t for _, t in texts()])
+    for most in (0, 1, 5):
+        monkeypatch.setattr(split.TextIds.__init__, "__defaults__", ((), None, most))
+        assert ids_of([t for _, t in texts()]) == want
 
 
 def test_empty(spark, tmp_path):

@@ -5,7 +5,8 @@ from the counts of all ids). `blocks` has a row for each block of whole document
 id's place in the bucket, the documents' ids and sizes, the bits (codes from the highest bit down), and the bit offset
 of every `STRIDE`-th id. Blocks decode apart from each other, all checkpoints of a block at once, by one table lookup an id.
 
-Ids are made once, staged in order of doc_id by a shuffle of the compressed ids, counted, and coded.
+Ids are made and counted once, staged in order of doc_id by a shuffle of the compressed ids, and coded. They are what the
+tokenizers library gives for encode(text, add_special_tokens=False): an added token that stands in a text is one id.
 
 Defined results: a null text counts as empty; every document ends with the end id. Documents of equal id follow each other in
 order of their ids' bytes; null doc_ids come first. An empty table gives a folder without blocks.
@@ -16,8 +17,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsymbol.llm.common import discard, materialise
-from tsymbol.llm.split import splitter
+from tsymbol.llm.split import TextIds, parts
 
 LIMIT, STRIDE, BLOCK = 20, 128, 1 << 17
-CACHE = 450_000
 
 
 # --- codes
@@ -126,114 +124,117 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Words:
-    """Ids of words by a tokenizer of the tokenizers library, kept for the next texts (bounded)."""
+class Library:
+    """Ids of texts as the tokenizers library makes them. A byte-level tokenizer without a normalizer gives a word the ids that its
+    model gives the word's bytes in byte letters, so each distinct word is asked for once; texts with added tokens in them, and
+    all texts of other tokenizers, go to the library as they are."""
 
     def __init__(self, spec: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.split = splitter(pattern)
-        self.known: dict[str, bytes] = {}
-        # without a normalizer, a byte-level tokenizer's ids of a word are its model's ids of the word's bytes in byte letters
-        parts = json.loads(spec)
-        before = parts["pre_tokenizer"] or {}
-        plain = parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
-        self.model, self.letters = (self.tokenizer.model, byte_letters()) if plain else (None, {})
-
-    def learn(self, words: list[str]) -> None:
-        if self.model is None:
-            for i in range(0, len(words), 20_000):
-                self._learn_whole(words[i : i + 20_000])
-            return
-        merge, letters, known = self.model.tokenize, self.letters, self.known
-        for w in words:
-            ids = [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]
-            known[w] = pack(f"<{len(ids)}I", *ids)
-
-    def _learn_whole(self, words: list[str]) -> None:
-        made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
-        cuts = [0, *(4 * np.searchsorted(of, np.arange(1, len(words)))).tolist(), 4 * len(ids)]
-        packed = ids.tobytes()
-        self.known.update((w, packed[cuts[k] : cuts[k + 1]]) for k, w in enumerate(words))
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as packed unsigned 32-bit integers. The tokenizer's own splitting uses the same pattern, and
-        a word alone is split like a word in its text."""
-        for i in range(0, len(texts), 1000):
-            if len(self.known) > CACHE:
-                self.known.clear()
-            words = [self.split(x) for x in texts[i : i + 1000]]
-            distinct = set().union(*words)
-            self.learn([w for w in distinct if w not in self.known])
-            own = {w: self.known[w] for w in distinct}.__getitem__  # a small dictionary stays in the processor's cache
-            for x in words:
-                yield b"".join(map(own, x))
-
-
-_made: dict[int, Words] = {}
-
-
-@contextmanager
-def _words(shared) -> Iterator[Words]:
-    """The process's words. What they have learned goes with the task."""
+        made = json.loads(spec)
+        before = made["pre_tokenizer"] or {}
+        plain = made["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        self.letters = byte_letters()
+        controls = tuple(x["content"] for x in made.get("added_tokens") or ())
+        self.words = TextIds(pattern, self.learn, controls, self.whole) if plain else None
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        made = [merge(w.encode().decode("latin-1").translate(letters)) for w in words]
+        return np.array([t.id for x in made for t in x], np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        if self.words:
+            return self.words.ids(texts)
+        got = [self.whole(x or "") for x in texts.to_pylist()]
+        return np.concatenate([*got, np.empty(0, np.uint32)]), np.fromiter(map(len, got), np.int64, len(got))
+
+
+_made: dict[int, Library] = {}
+
+
+def _library(shared) -> Library:
+    """The process's tokenizer; what it knows is bounded and stays for the next tasks."""
     spec, pattern = shared.value
     key = hash((spec, pattern))
     if key not in _made:
         _made.clear()
-        _made[key] = Words(spec, pattern)
-    try:
-        yield _made[key]
-    finally:
-        _made[key].known.clear()
+        _made[key] = Library(spec, pattern)
+    return _made[key]
+
+
+#: Rows of a task's counts: each has the counts of so many ids, packed.
+SLICE = 4096
+
+
+def _count_rows(total: np.ndarray, task: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, -1 - slice, packed counts) of the slices of `total` that aren't empty, dealt over the buckets."""
+    slices = [total[i : i + SLICE] for i in range(0, len(total), SLICE)]
+    return [((task + k) % buckets, -1 - k, x.astype("<i8").tobytes()) for k, x in enumerate(slices) if x.any()]
 
 
 def _staged(df: DataFrame, path: str, text: str, key: str, end: int, buckets: int) -> DataFrame:
-    """(bucket, doc_id, n, ids, place): ids compressed; rows of a bucket in order, place counts the ids before."""
+    """(bucket, doc_id, n, ids, place): ids compressed; rows of a bucket in order, place counts the ids before. Besides the
+    documents' rows, each task leaves rows with the counts of the ids that it made; n is below 0 there (see _count_rows)."""
     import public_tokenizers
 
     spark = df.sparkSession
     with open(path, encoding="utf-8") as f:  # a bounded vocabulary, read on the driver
         shared = spark.sparkContext.broadcast((f.read(), public_tokenizers.PATTERN))
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    tail = np.array([end], "<u4").tobytes()
     bounds = np.array(sorted({int(x) for x in source.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else [], np.int64)
+    names = ["bucket", "doc_id", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        with _words(shared) as words:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    part = whole.slice(at, 2000)
-                    ids = [x + tail for x in words.batch(part.column(1).to_pylist())]
-                    least = np.iinfo(np.int64).min
-                    bucket = np.searchsorted(bounds, part.column(0).fill_null(least).to_numpy(), side="right").astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([squeeze(_narrow(x)) for x in ids], pa.binary())], names=["bucket", "doc_id", "n", "ids"])
+        from pyspark import TaskContext
+
+        squeeze, total = zstandard.ZstdCompressor(level=1).compress, np.zeros(0, np.int64)
+        library = _library(shared)
+        for whole in batches:
+            for part in parts(whole):
+                ids, size = library.ids(part.column(1))
+                begin = np.cumsum(size + 1) - size - 1
+                # every document's ids, then the end id
+                out = np.full(len(ids) + len(size), end, "<u4")
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
+                own = np.bincount(out)
+                total = own + np.pad(total, (0, max(0, len(own) - len(total))))[: len(own)] if len(own) >= len(total) else total + np.pad(own, (0, len(total) - len(own)))
+                least = np.iinfo(np.int64).min
+                bucket = np.searchsorted(bounds, part.column(0).fill_null(least).to_numpy(), side="right").astype(np.int32)
+                packed = [squeeze(_narrow(out[a : a + n])) for a, n in zip(begin.tolist(), (size + 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0), pa.array(size + 1), pa.array(packed, pa.binary())], names=names)
+        rows = _count_rows(total, TaskContext.get().partitionId(), len(bounds) + 1)
+        if rows:
+            where, slices, counts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array(slices, pa.int64()), pa.array(counts, pa.binary())], names=names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
         for batch in batches:
             bucket, n = (batch.column(k).to_numpy() for k in (0, 2))
+            n = np.maximum(n, 0)
             if len(bucket):
                 before = np.cumsum(n) - n
                 first = np.append(True, bucket[1:] != bucket[:-1])
                 base = np.where(first, before, 0)
                 start = before - np.maximum.accumulate(base) + np.where(np.cumsum(first) == 1, at if bucket[0] == now else 0, 0)
                 now, at = bucket[-1], int(start[-1] + n[-1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start, pa.int64())], names=["bucket", "doc_id", "n", "ids", "place"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start, pa.int64())], names=[*names, "place"])
 
     made = source.mapInArrow(run, "bucket int, doc_id long, n long, ids binary")
     dealt = made.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
     return materialise(dealt.mapInArrow(place, "bucket int, doc_id long, n long, ids binary, place long"), "ids")
 
 
-def _narrow(ids: bytes) -> bytes:
-    x = np.frombuffer(ids, "<u4")
-    return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\x04" + ids
+def _narrow(ids: np.ndarray) -> bytes:
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
@@ -247,21 +248,18 @@ def write(df: DataFrame, folder: str, tokenizer: str, *, text: str = "text", key
     staged = _staged(df, tokenizer, text, key, end, buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        loosen, total = zstandard.ZstdDecompressor().decompress, np.zeros(0, np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                own = np.bincount(_wide(loosen(x)))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
-
-    counts = {r.id: r.n for r in staged.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # no more rows than the vocabulary has
+            for n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(x, "<i8")
+                mine = totals.setdefault(-1 - n, np.zeros(SLICE, np.int64))
+                mine[: len(own)] += own
+        for k, x in totals.items():
+            ids = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids + k * SLICE, pa.int64()), pa.array(x[ids], pa.int64())], names=["id", "n"])
+
+    counted = staged.filter("n < 0").select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = {r.id: r.n for r in counted.collect()}  # no more rows than the vocabulary has
     lengths = code_lengths(counts)
     spark.createDataFrame([(i, n) for i, n in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codes")
     code = spark.sparkContext.broadcast(Code(lengths))
@@ -293,7 +291,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, *, text: str = "text", key
         if held:
             yield close()
 
-    staged.select("bucket", "place", "doc_id", "ids").mapInArrow(blocks, "bucket int, start long, n long, doc_ids array<long>, sizes array<long>, bits binary, checkpoints array<long>").write.parquet(f"{folder}/blocks")
+    staged.filter("n > 0").select("bucket", "place", "doc_id", "ids").mapInArrow(blocks, "bucket int, start long, n long, doc_ids array<long>, sizes array<long>, bits binary, checkpoints array<long>").write.parquet(f"{folder}/blocks")
     discard(staged)
 
 
