@@ -1,84 +1,81 @@
-"""Line dedup by distributed prefix doubling over the line-id sequences of all documents.
+"""Line dedup by a suffix array over the line-id sequences of all documents.
 
-All lines get a place (documents by id, then text hash; lines in order), and every line of some text a 128-bit id of its
-trimmed content; blank lines are left out of the sequences. Round k holds the suffixes whose first 2**k lines occur more
-than once, each with the class of those lines: the LCP interval of depth 2**k that the suffix lies in. A class is named by
-its first place, so that its name also says which copy stays; the order of classes among each other, which a suffix array
-adds, decides nothing here and isn't made. A round joins a suffix's class with that of the suffix 2**k lines on and names
-the pairs anew; it ends when no run occurs twice. Suffixes that become unique drop out, and each round works on what is left.
-
-A run of 1, 2, 4, 8 ... lines that has `min_chars` code points or more and an earlier copy is deleted; a maximal repeated run
-of any other length is the union of two such runs. First copies stay.
+All lines get a place (documents by id, then text hash; lines in order), and every line with text a 128-bit id of its trimmed
+content; blank lines are left out of the sequences. Prefix doubling sorts the suffixes of all documents whose first line
+occurs elsewhere (see suffixes.py), and the LCP of neighbours gives the LCP intervals: all places that share a run of lines.
+The longest run from each place on that also begins at an earlier place follows from the intervals in which the place isn't
+the first. Where that run has `min_chars` code points or more, its lines are deleted; first copies stay. So every occurrence
+but the first of a repeated run of enough code points goes, whatever its number of lines.
 
 Defined results: null and empty texts have no lines and stay as they are (null becomes empty). Rows that repeat both id and text count as one document, and
-all get its result. Repeats inside a document count like those between documents. A blank line goes
-where the lines with text on both sides go, and stays elsewhere.
+all get its result. Repeats inside a document count like those between documents. Lines are trimmed of blanks, tabs, returns, vertical tabs and form feeds for comparison and for their
+code points; what stays of a text stays as it was. A blank line goes where the lines with text on both sides go, and stays elsewhere.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsymbol.llm.common import discard, materialise, spare
+from tsymbol.llm.suffixes import longest_earlier, neighbours, suffix_array
 
 MIN_CHARS = 20
 
 
-def _lines(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, h, dstart, gid, left, h1, h2, chars): lines with text, numbered so that a document's are consecutive and documents ascend."""
+def _trim(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
+def _lines(df: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
+    """(doc_id, h, dstart, gid, left, h1, h2, need): lines with text, numbered so that a document's are consecutive and documents ascend.
+    need: lines from there on that have min_chars code points together; 0 if the document ends before."""
     x = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
-    packed = F.transform(trimmed, lambda line: F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"), F.length(line).alias("chars")))
-    docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(x).alias("h"), packed.alias("lines")).filter(F.size("lines") > 0)
-    docs = docs.groupBy("doc_id", "h").agg(F.first("lines").alias("lines")).orderBy("doc_id", "h")
+    trimmed = F.filter(F.transform(F.split(x, "\n"), _trim), lambda line: line != "")
+    # no line with text is shorter than one
+    ahead = lambda lines, i: F.aggregate(
+        F.slice(lines, i + 1, max(1, min_chars)),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")),
+        lambda a, line: F.when(a["chars"] >= min_chars, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["chars"] + F.length(line)).alias("chars"))),
+        lambda a: F.when(a["chars"] >= min_chars, a["n"]).otherwise(0),
+    )
+    docs = df.select(F.col(key).alias("doc_id"), F.xxhash64(x).alias("h"), trimmed.alias("lines")).filter(F.size("lines") > 0)
+    packed = F.transform("lines", lambda line, i: F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"), F.when(F.length(line) >= min_chars, 1).otherwise(ahead(F.col("lines"), i)).alias("need")))
+    docs = docs.select("doc_id", "h", packed.alias("lines")).groupBy("doc_id", "h").agg(F.first("lines").alias("lines")).orderBy("doc_id", "h")
     rows = docs.select("doc_id", "h", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    return rows.select("doc_id", "h", "n", "pos", F.monotonically_increasing_id().alias("gid"), "line.h1", "line.h2", "line.chars").select("doc_id", "h", (F.col("gid") - F.col("pos")).alias("dstart"), "gid", (F.col("n") - F.col("pos")).alias("left"), "h1", "h2", "chars")
-
-
-def _classes(rows: DataFrame, *by: str) -> DataFrame:
-    """rows whose `by` occurs more than once, with the least place of each as name."""
-    named = rows.groupBy(*by).agg(F.min("gid").alias("name_"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1")
-    return rows.join(named.drop("n_"), list(by)).select("gid", "dstart", "left", F.col("name_").alias("name"), "chars")
-
-
-def repeated_lines(df: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Documents that lose lines as (doc_id, h, runs): runs of (from, until) over their lines with text, ascending; and the table of all lines."""
-    lines = materialise(_lines(df, text, key), "lines")
-    level, rounds, k = materialise(_classes(lines.select("gid", "dstart", "left", "h1", "h2", "chars"), "h1", "h2"), "line-classes-0"), [], 0
-    while not level.isEmpty():
-        rounds.append(level.filter((F.col("name") != F.col("gid")) & (F.col("chars") >= min_chars)).select("gid", "dstart", (F.col("gid") + (1 << k)).alias("reach")))
-        after = level.select((F.col("gid") - (1 << k)).alias("gid"), F.col("name").alias("name2"), F.col("chars").alias("chars2"))
-        pairs = level.filter(F.col("left") >= 2 << k).join(after, "gid").select("gid", "dstart", "left", "name", "name2", (F.col("chars") + F.col("chars2")).alias("chars"))
-        k += 1
-        level = materialise(_classes(pairs, "name", "name2"), f"line-classes-{k}")
-    discard(level)
-    starts = lines.filter("gid = dstart").select("dstart", "doc_id", "h")
-    if not rounds:
-        return starts.filter("false").select("doc_id", "h", F.array(F.struct(F.lit(0).alias("from"), F.lit(0).alias("until"))).alias("runs")), lines
-    reach = reduce(DataFrame.unionAll, rounds).groupBy("dstart", "gid").agg(F.max("reach").alias("reach"))
+    return rows.select("doc_id", "h", "n", "pos", F.monotonically_increasing_id().alias("gid"), "line.*").select("doc_id", "h", (F.col("gid") - F.col("pos")).alias("dstart"), "gid", (F.col("n") - F.col("pos")).cast("long").alias("left"), "h1", "h2", F.col("need").cast("long").alias("need"))
+
+
+def repeated_lines(df: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Documents that lose lines as (doc_id, h, runs): runs of (from, until) over their lines with text, ascending."""
+    lines = materialise(_lines(df, text, key, min_chars), "lines")
+    array, rounds = suffix_array(lines.select("gid", "dstart", "left", "need", "h1", "h2"))
+    order = neighbours(array, rounds)
+    discard(array)
+    found = longest_earlier(order).filter((F.col("need") > 0) & (F.col("length") >= F.col("need")))
+    reach = found.select("dstart", "gid", (F.col("gid") + F.col("length")).alias("reach"))
     # spans that touch or overlap grow together
     in_doc = Window.partitionBy("dstart").orderBy("gid")
     before = F.max("reach").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     spans = reach.withColumn("new", F.when(before.isNull() | (F.col("gid") > before), 1).otherwise(0)).withColumn("span", F.sum("new").over(in_doc))
     spans = spans.groupBy("dstart", "span").agg((F.min("gid") - F.col("dstart")).cast("int").alias("from"), (F.max("reach") - F.col("dstart")).cast("int").alias("until"))
     runs = spans.groupBy("dstart").agg(F.array_sort(F.collect_list(F.struct("from", "until"))).alias("runs"))
-    return runs.join(starts, "dstart").select("doc_id", "h", "runs"), lines
+    losses = materialise(runs.join(lines.filter("gid = dstart").select("dstart", "doc_id", "h"), "dstart").select("doc_id", "h", "runs"), "line-losses")
+    discard(lines)
+    return losses
 
 
 def dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """df with the deleted lines cut out of `text`, and with n_lines (lines with text) and n_deleted under names that don't clash (see `counted`)."""
     n_lines, n_deleted, h, runs, own = counted(df)
-    losses, _ = repeated_lines(df, text=text, key=key, min_chars=min_chars)
+    losses = repeated_lines(df, text=text, key=key, min_chars=min_chars)
     losses = losses.select(F.col("doc_id").alias(own), F.col("h").alias(f"{h}_"), F.col("runs").alias(runs))
     x = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumn(h, F.xxhash64(x))
     rows = rows.join(losses, F.col(key).eqNullSafe(F.col(own)) & (F.col(h) == F.col(f"{h}_")), "left")
     lines = F.split(x, "\n")
-    filled = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), (F.trim(line) != "").alias("full"))), lambda s: s["full"])
+    filled = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), (_trim(line) != "").alias("full"))), lambda s: s["full"])
     at = lambda places, k: F.get(places, k)["i"]  # noqa: E731  place among all lines of the k-th line with text
     places = filled
     # what stays lies between the runs: from the line after one's last to the next one's first
