@@ -31,14 +31,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def own(df: DataFrame, path: str) -> DataFrame:
+    """df, which reads the table at path, as one that discard() and clean() delete."""
+    _made.add(path)
+    df._tsymbol_path = path
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.add(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._tsymbol_path = path
-    return back
+    return own(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

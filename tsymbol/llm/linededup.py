@@ -24,15 +24,21 @@ from tsymbol.llm.suffixes import longest_earlier, neighbours, suffix_array
 MIN_CHARS = 20
 
 
-def _trim(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+#: What is trimmed besides blanks.
+SPACES = " \t\r\x0b\x0c"
+
+
+def _trimmed(text: Column) -> Column:
+    """The lines of a text, trimmed. Most texts hold nothing but blanks to trim, which is much faster."""
+    lines = F.split(text, "\n")
+    return F.when(text.rlike(r"[\t\r\x0b\x0c]"), F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES)))).otherwise(F.transform(lines, lambda x: F.trim(x)))
 
 
 def _lines(df: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
     """(doc_id, h, dstart, gid, left, h1, h2, need): lines with text, numbered so that a document's are consecutive and documents ascend.
     need: lines from there on that have min_chars code points together; 0 if the document ends before."""
     x = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.filter(F.transform(F.split(x, "\n"), _trim), lambda line: line != "")
+    trimmed = F.filter(_trimmed(x), lambda line: line != "")
     # no line with text is shorter than one
     ahead = lambda lines, i: F.aggregate(
         F.slice(lines, i + 1, max(1, min_chars)),
@@ -75,16 +81,17 @@ def dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars:
     rows = df.withColumn(h, F.xxhash64(x))
     rows = rows.join(losses, F.col(key).eqNullSafe(F.col(own)) & (F.col(h) == F.col(f"{h}_")), "left")
     lines = F.split(x, "\n")
-    filled = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), (_trim(line) != "").alias("full"))), lambda s: s["full"])
-    at = lambda places, k: F.get(places, k)["i"]  # noqa: E731  place among all lines of the k-th line with text
-    places = filled
+    filled = F.filter(F.transform(_trimmed(x), lambda line, i: F.when(line != "", i)), lambda i: i.isNotNull())
+    (numbers,) = spare(rows, "line_numbers")
+    rows = rows.withColumn(numbers, filled)
+    at = lambda k: F.get(F.col(numbers), k)  # noqa: E731  place among all lines of the k-th line with text
     # what stays lies between the runs: from the line after one's last to the next one's first
-    begins = F.concat(F.array(F.lit(0)), F.transform(F.col(runs), lambda r: at(places, r["until"] - 1) + 1))
-    ends = F.concat(F.transform(F.col(runs), lambda r: at(places, r["from"])), F.array(F.size(lines)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(F.col(runs), lambda r: at(r["until"] - 1) + 1))
+    ends = F.concat(F.transform(F.col(runs), lambda r: at(r["from"])), F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda z: F.slice(lines, z["a"] + 1, z["b"] - z["a"])))
     gone = F.aggregate(F.col(runs), F.lit(0), lambda total, r: total + r["until"] - r["from"])
-    out = rows.withColumns({n_lines: F.size(filled).cast("long"), n_deleted: F.coalesce(gone, F.lit(0)).cast("long"), text: F.when(F.col(runs).isNull(), x).otherwise(F.array_join(kept, "\n"))})
-    return out.drop(h, f"{h}_", runs, own)
+    out = rows.withColumns({n_lines: F.size(numbers).cast("long"), n_deleted: F.coalesce(gone, F.lit(0)).cast("long"), text: F.when(F.col(runs).isNull(), x).otherwise(F.array_join(kept, "\n"))})
+    return out.drop(h, f"{h}_", runs, own, numbers)
 
 
 def counted(df: DataFrame) -> list[str]:

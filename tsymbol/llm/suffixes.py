@@ -17,14 +17,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsymbol.llm.common import discard, materialise
+from tsymbol.llm.common import discard, materialise, own, shared_path
 
 #: Suffixes of one row of packed neighbours.
 CHUNK = 50_000
+#: Rows of a partition of the later rounds.
+ROWS = 50_000
 _FAR = 1 << 62
 
 
@@ -38,16 +40,22 @@ def _same(batch: pa.RecordBatch, columns: list[int], last: tuple | None) -> np.n
     return out
 
 
-def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _parts(session: SparkSession, rows: int | None) -> int:
+    """Partitions for so many rows; the session's number where that isn't known."""
+    most = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return most if rows is None else max(1, min(most, -(-rows // ROWS)))
+
+
+def ranked(df: DataFrame, keys: list[str], name: str, rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """df's rows with `outer` and `inner`, the numbers of rows before the first one with the same first key, and with the same
-    keys; `at`, the number of rows before; and `tied`, whether other rows have the same keys. keys: numbers that aren't null; gid, the last, is unique."""
+    keys; `at`, the number of rows before; and `tied`, whether other rows have the same keys. With it the table that it reads,
+    and the number of rows. keys: numbers that aren't null; gid, the last one, is unique. rows: about how many df has."""
     session = df.sparkSession
     columns = df.columns
     key_at = [columns.index(k) for k in keys]
-    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, *keys, "gid").sortWithinPartitions(*keys, "gid")
-    local = ["part_", "i_", "outer_", "inner_", "back_", "ahead_"]
-    kinds = [T.IntegerType(), *[T.LongType()] * 3, *[T.BooleanType()] * 2]
+    dealt = df.repartitionByRange(_parts(session, rows), *keys, "gid").sortWithinPartitions(*keys, "gid")
+    local = ["part_", "i_", "outer_", "inner_", "back_", "ahead_", "last_"]
+    kinds = [T.IntegerType(), *[T.LongType()] * 3, *[T.BooleanType()] * 3]
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, kind, False) for c, kind in zip(local, kinds, strict=True))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,83 +70,96 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
             at = np.arange(i, i + n)
             first = [np.maximum.accumulate(np.where(s, begun, at)) for s, begun in zip(same, (outer, inner), strict=True)]
             if held is not None:
-                yield done(held, part, bool(same[1][0]))
+                yield done(held, part, bool(same[1][0]), False)
             held = (batch, at, first[0], first[1], same[1])
             i, outer, inner = i + n, int(first[0][-1]), int(first[1][-1])
             last = tuple(batch.column(c)[n - 1].as_py() for c in key_at)
         if held is not None:
-            yield done(held, part, False)
+            yield done(held, part, False, True)
 
-    def done(held: tuple, part: int, goes_on: bool) -> pa.RecordBatch:
+    def done(held: tuple, part: int, goes_on: bool, end: bool) -> pa.RecordBatch:
         batch, at, outer, inner, back = held
-        ahead = np.append(back[1:], goes_on)
-        more = [pa.array(np.full(len(at), part, np.int32)), *map(pa.array, (at, outer, inner, back, ahead))]
+        last = np.zeros(len(at), bool)
+        last[-1] = end
+        more = [pa.array(np.full(len(at), part, np.int32)), *map(pa.array, (at, outer, inner, back, np.append(back[1:], goes_on), last))]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*columns, *local])
 
-    made = materialise(rows.mapInArrow(number, schema), name)
-    ends = made.groupBy("part_").agg(F.count(F.lit(1)).alias("n"), F.struct(*(F.min_by(k, "i_") for k in keys)).alias("first"), F.struct(*(F.max_by(k, "i_") for k in keys)).alias("last"), F.max("outer_").alias("outer"), F.max("inner_").alias("inner"))
-    # a row a partition; where a key began before its partition, its first row is there
+    made = materialise(dealt.mapInArrow(number, schema), name)
+    # the first and the last row of each partition; where a key began before its partition, its first row is there
+    ends: dict[int, list] = {}
+    for r in made.filter("i_ = 0 or last_").select("part_", "i_", "outer_", "inner_", "last_", *keys).collect():
+        mine = ends.setdefault(r["part_"], [None, None])
+        if r["i_"] == 0:
+            mine[0] = r
+        if r["last_"]:
+            mine[1] = r
     before, carried, known = 0, [0, 0], None
     table: list[list] = []
-    for r in sorted(ends.collect(), key=lambda r: r["part_"]):
-        first, last = tuple(r["first"]), tuple(r["last"])
+    for part in sorted(ends):
+        first, last = (tuple(r[k] for k in keys) for r in ends[part])
         begun = [known is not None and known[:m] == first[:m] for m in (1, len(keys))]
         if begun[1]:
             table[-1][-1] = True
-        table.append([r["part_"], r["n"], before, carried[0] if begun[0] else before, carried[1] if begun[1] else before, begun[1], False])
-        carried = [table[-1][3 + m] if r[x] == 0 else before + r[x] for m, x in enumerate(("outer", "inner"))]
-        before, known = before + r["n"], last
-    sides = session.createDataFrame([tuple(x) for x in table] or [(0, 0, 0, 0, 0, False, False)], "part_ int, rows_ long, before_ long, outer0_ long, inner0_ long, cameback_ boolean, goeson_ boolean")
-    both = made.join(F.broadcast(sides), "part_")
+        table.append([part, before, carried[0] if begun[0] else before, carried[1] if begun[1] else before, begun[1], False])
+        carried = [table[-1][2 + m] if ends[part][1][x] == 0 else before + ends[part][1][x] for m, x in enumerate(("outer_", "inner_"))]
+        before, known = before + ends[part][1]["i_"] + 1, last
+    sides = session.createDataFrame([tuple(x) for x in table] or [(0, 0, 0, 0, False, False)], "part_ int, before_ long, outer0_ long, inner0_ long, cameback_ boolean, goeson_ boolean")
+    both = made.join(F.broadcast(sides), "part_")  # a row a partition
     place = lambda own, carried: F.when(F.col(own) == 0, F.col(carried)).otherwise(F.col("before_") + F.col(own))
     back = F.when(F.col("i_") == 0, F.col("cameback_")).otherwise(F.col("back_"))
-    ahead = F.when(F.col("i_") == F.col("rows_") - 1, F.col("goeson_")).otherwise(F.col("ahead_"))
+    ahead = F.when(F.col("last_"), F.col("goeson_")).otherwise(F.col("ahead_"))
     out = both.select(*columns, place("outer_", "outer0_").alias("outer"), place("inner_", "inner0_").alias("inner"), (F.col("before_") + F.col("i_")).alias("at"), (back | ahead).alias("tied"))
-    out._tsymbol_path = made._tsymbol_path
-    return out
+    return out, made, before
 
 
 def suffix_array(lines: DataFrame) -> tuple[DataFrame, int]:
     """From (gid, left, h1, h2 and others): the suffixes whose first element occurs more than once, with the columns of lines but
     the hashes, `rank` (their order) and `history`, their ranks of each round in which they still tied; and the number of rounds.
-    left: elements from there to the end of the sequence. Equal suffixes go by place."""
+    left: elements from there to the end of the sequence. Equal suffixes go by place.
+
+    All rounds' results stand in one folder; a row that isn't `tied` has its final rank."""
+    session = lines.sparkSession
     rest = [c for c in lines.columns if c not in ("h1", "h2")]
-    made = [ranked(lines, ["h1", "h2"], "suffixes-0")]
-    first = made[0].withColumnRenamed("inner", "rank")
-    tied = first.filter("tied").select(*rest, "rank", F.array("rank").alias("history"))
-    behind = tied.filter("left > 1").select((F.col("gid") + 1).alias("gid"))
-    ranks = [materialise(first.filter("not tied").select("gid", "rank").join(behind, "gid"), "suffixes-behind")]  # unique elements behind repeated ones
-    final, k = [], 0
-    while not tied.isEmpty():
-        step = 1 << k
-        second = reduce(DataFrame.unionAll, [tied.select("gid", "rank"), *ranks]).select((F.col("gid") - step).alias("gid"), F.col("rank").alias("second"))
+    folder = shared_path(session, "suffixes")
+    written = lambda: session.read.parquet(folder)
+    sorted_, made, n = ranked(lines, ["h1", "h2"], "suffixes")
+    first = sorted_.select(*rest, F.col("inner").alias("rank"), "tied")
+    tied = first.filter("tied").select(*rest, "rank", F.array("rank").alias("history"), "tied")
+    # unique elements behind repeated ones: second keys, but no rows of the array
+    behind = first.filter("not tied").join(tied.filter("left > 1").select((F.col("gid") + 1).alias("gid")), "gid").select(*rest, "rank", F.array().cast("array<long>").alias("history"), "tied")
+    tied.unionByName(behind).write.parquet(f"{folder}/round=0")
+    discard(made)
+    k, n = 0, written().count()
+    while True:
+        step, all_ = 1 << k, written()
+        if (tied := all_.filter(F.col("tied") & (F.col("round") == k)).drop("tied", "round")).isEmpty():
+            break
+        second = all_.filter(~F.col("tied") | (F.col("round") == k)).select((F.col("gid") - step).alias("gid"), F.col("rank").alias("second"))
         pairs = tied.join(second, "gid", "left").withColumn("second", F.when(F.col("left") > step, F.col("second")).otherwise(F.lit(-1)))
-        made.append(ranked(pairs.select(*rest, "rank", "second", "history"), ["rank", "second"], f"suffixes-{k + 1}"))
-        sorted_ = made[-1].withColumn("tied", F.col("tied") & (F.col("second") >= 0))
-        place = F.col("rank") + F.when(F.col("tied"), F.col("inner")).otherwise(F.col("at")) - F.col("outer")
-        sorted_ = sorted_.select(*rest, place.alias("rank"), "history", "tied")
-        done = sorted_.filter("not tied").drop("tied")
-        final.append(done)
-        ranks.append(done.select("gid", "rank"))
-        tied = sorted_.filter("tied").select(*rest, "rank", F.concat("history", F.array("rank")).alias("history"))
+        sorted_, made, n = ranked(pairs, ["rank", "second"], "suffixes", n)
+        still = F.col("tied") & (F.col("second") >= 0)
+        place = F.col("rank") + F.when(still, F.col("inner")).otherwise(F.col("at")) - F.col("outer")
+        sorted_ = sorted_.select(*rest, place.alias("rank"), "history", still.alias("tied"))
+        history = F.when(F.col("tied"), F.concat("history", F.array("rank"))).otherwise(F.col("history"))
+        sorted_.withColumn("history", history).write.parquet(f"{folder}/round={k + 1}")
+        discard(made)
         k += 1
-    array = materialise(reduce(DataFrame.unionAll, final or [tied.select(*rest, "rank", "history")]), "suffix-array")
-    for df in (*made, ranks[0]):
-        discard(df)
-    return array, k
+    array = written().filter(~F.col("tied") & (F.size("history") > 0)).select(*rest, "rank", "history")
+    return own(array, folder), k
 
 
 def neighbours(array: DataFrame, rounds: int) -> DataFrame:
     """array's rows (without history) with `at`, their number in order, and `lcp`, the elements they share with the one before."""
     rest = [c for c in array.columns if c not in ("rank", "history")]
-    rows = ranked(array, ["rank"], "suffix-order").select("at", *rest, "history")
+    sorted_, made, n = ranked(array, ["rank"], "suffix-order")
+    rows = sorted_.select("at", *rest, "history")
     before = rows.select((F.col("at") + 1).alias("at"), F.col("gid").alias("x"), F.col("left").alias("x_left"), F.col("history").alias("x_history"))
     shared = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))  # noqa: E731  of nested classes
     power = lambda level: F.when(level > 0, F.pow(F.lit(2), level - 1)).otherwise(0).cast("long")
     pairs = rows.join(before, "at", "left").withColumn("level", F.coalesce(shared(F.col("history"), F.col("x_history")), F.lit(0)))
     pairs = materialise(pairs.select("at", *rest, "x", "x_left", "level", power(F.greatest("level", F.lit(0))).alias("lcp")), "suffix-neighbours")
     done, now = [pairs.filter("level < 2")], pairs.filter("level >= 2")
-    held = [rows, pairs]
+    held = [pairs]
     y, x = (rows.select(F.col("gid").alias(f"{n}_gid"), F.col("history").alias(f"{n}_history")) for n in "yx")
     for _ in range(rounds):
         if now.isEmpty():
@@ -152,7 +173,7 @@ def neighbours(array: DataFrame, rounds: int) -> DataFrame:
         done.append(now.filter("level < 2"))
         now = now.filter("level >= 2")
     out = materialise(reduce(DataFrame.unionAll, done).select("at", *rest, "lcp"), "suffix-lcp")
-    for df in held:
+    for df in (*held, made):
         discard(df)
     return out
 
