@@ -1,22 +1,26 @@
 """Main text of web pages: standard-library parser events, text-to-tag ratio of each line, Gaussian smoothing, clustering.
 
-The parser's events stream into lines, a line being the text between two block boundaries, with the tags seen on the way and
-the region it stands in (the nearest article, main, section, div or the like; an article or main keeps what it holds).
-Regions that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments give no lines.
-The lines' ratios of characters to tags are smoothed with a Gaussian and cut at their standard deviation; lines above are the
-content cluster. The same is done with ratios capped, so that a very long line doesn't raise the cut over all others. A region
-is content if a content line lies in it, whatever its size beside other regions; it is then kept whole, so that short paragraphs
-stay. Smoothing lends a line its neighbours' ratio: for lines that are links and nothing else it doesn't count, unless their
-region has a tenth of the largest one's content. Where a page has an article or main region, only such regions can be content.
-
-Defined results: a null or empty page, and one without any content, gives an empty text. Broken markup never fails: unclosed
-elements end with the one around them. Repeated rows each give a row.
+The parser's events stream into lines, a line being the text between two block boundaries, with the tags seen since the line
+before and the region that it stands in (the nearest div, section, article, nav or the like, or the nearest element whose
+name tells what it is). A line's ratio is its characters a tag. Tags and names only weigh it: in an article or main region it
+counts more, in what is or is named a menu, header, footer, sidebar, notice, advert, form or comment far less, and text that
+stands in a region itself, in no paragraph, heading, item or cell, less.
+
+The ratios in page order are smoothed with a Gaussian and cut at their standard deviation, or at a share of the largest; the same is done with ratios capped,
+so that a very long line doesn't raise the cut over all others. A line is content where its smoothed ratio and its own reach
+a cut: an isolated line in menus is drawn down by them. A region that holds a content line is kept, whatever its
+size beside others, with its short lines; of its lines that are links and nothing else, those stay that smoothing with their
+neighbours lifts over a cut.
+
+Defined results: a null or empty page, and one without any text, gives an empty text. Broken markup never fails and takes time
+in proportion to its length: unclosed elements end with the one around them. Repeated rows each give a row.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,8 +31,13 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-REGION = frozenset("article main section div body td".split())
-DROPPED = frozenset("head title nav header footer aside form script style noscript template menu button select textarea iframe object svg canvas dialog audio video map".split())
+REGION = frozenset("article main section div body".split())
+#: What these hold is no text of the page.
+DROPPED = frozenset("head title script style noscript template button select textarea iframe object svg canvas dialog audio video map".split())
+#: What these hold is text, but likely none of the article.
+ASIDE = frozenset("nav header footer aside form menu".split())
+#: Weights of ratios: in an article or main region, in what is or is named an aside, in no element of text.
+LANDMARK, APART, BARE = 2.0, 0.01, 0.05
 #: A paragraph ends where one of these begins.
 ENDS_P = BLOCK - {"body", "html", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "summary"}
 #: Names in class, id or role, as whole words, of what isn't content.
@@ -42,34 +51,54 @@ NAMES = re.compile(
 ASIDES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|related|recommended|promo|sponsored|advert|ad|ads|widget)(?:$|[\s_-])", re.IGNORECASE).search
 
 
+@dataclass(frozen=True)
+class Line:
+    text: str
+    tags: int
+    region: int
+    weight: float
+    plain: bool  # some of it is no link
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region, whether in an article, whether some of it is no link) of each line; by_name: whether names tell what isn't content."""
+    """Collects the lines of a page."""
 
-    def __init__(self, by_name: bool = True) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.by_name = by_name
-        self.open: list[tuple[str, int, bool, bool, bool]] = []  # tag, region, dropped, in an article, in a link
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.open: list[tuple[str, int, float, bool, bool]] = []  # tag, region, weight, dropped, in a link
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
+        self.blocks: list[int] = []  # of the open block elements
+        self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags, self.regions, self.plain = 0, 0, False
 
-    def now(self) -> tuple[str, int, bool, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False, False)
+    def now(self) -> tuple[str, int, float, bool, bool]:
+        return self.open[-1] if self.open else ("", 0, 1.0, False, False)
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, region, _, inside, _ = self.now()
-                self.lines.append((text, max(1, self.tags), region, inside, self.plain))
+                _, region, weight, _, _ = self.now()
+                bare = not self.blocks or self.open[self.blocks[-1]][0] in REGION
+                self.lines.append(Line(text, max(1, self.tags), region, weight * (BARE if bare else 1.0), self.plain))
                 self.tags, self.plain = 0, False
 
     def pop_to(self, at: int) -> None:
-        if any(x[0] in BLOCK for x in self.open[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self.end_line()
+        for tag, *_ in self.open[at:]:
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
         del self.open[at:]
 
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of that tag, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in VOID:
@@ -78,25 +107,25 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self.end_line()
             return
-        if tag in ENDS_P:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p":
-                    self.pop_to(k)
-                    break
-                if self.open[k][0] in BLOCK:
-                    break
+        if tag in ENDS_P and (at := self.last("p")) >= 0 and at >= (self.blocks[-1] if self.blocks else 0):
+            self.pop_to(at)
         if tag in BLOCK:
             self.end_line()
-        _, region, dropped, inside, linked = self.now()
+        _, region, weight, dropped, linked = self.now()
         if tag == "body":
             dropped = False  # a head that was never closed ends here
-        own = tag in DROPPED or (self.by_name and tag not in ("html", "body") and self.named_aside(tag, attrs))
-        if tag in ("article", "main") and not own and not dropped:
-            inside = True
-        if tag in REGION and (tag in ("article", "main") or not inside):
+        landmark, aside = tag in ("article", "main"), tag not in ("html", "body") and (tag in ASIDE or self.named_aside(tag, attrs))
+        if tag in REGION or aside:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, region, dropped or own, inside, linked or tag == "a"))
+        if aside:
+            weight = APART
+        elif landmark and weight == 1.0:
+            weight = LANDMARK
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, region, weight, dropped or tag in DROPPED, linked or tag == "a"))
 
     def named_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         tells = ASIDES if tag in ("article", "main") else NAMES
@@ -107,15 +136,13 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.pop_to(k)
-                return
-            if tag not in BLOCK and self.open[k][0] in BLOCK:
-                return  # an inline end tag doesn't close blocks
+        at = self.last(tag)
+        # an inline end tag doesn't close blocks
+        if at >= 0 and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        _, _, dropped, _, linked = self.now()
+        _, _, _, dropped, linked = self.now()
         if not dropped:
             self.parts.append(data)
             self.plain = self.plain or not (linked or data.isspace())
@@ -127,41 +154,32 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def lines_of(html: str, by_name: bool = True) -> list[tuple[str, int, int, bool, bool]]:
-    parser = Lines(by_name)
+def lines_of(html: str) -> list[Line]:
+    parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
     return parser.lines
 
 
-def main_text(html: str, *, sigma: float = 1.0, share: float = 0.1, cap: float = 20.0) -> str:
-    """The text of a page. Where names of elements would drop all of it (a wrapper named after its sidebar), they don't count.
-
-    cap: characters a tag from which a line is text, however many more others have."""
-    lines = lines_of(html) or lines_of(html, by_name=False)
+def main_text(html: str, *, sigma: float = 1.0, cap: float = 20.0, share: float = 0.35) -> str:
+    """The text of a page. cap: characters a tag from which a line is text, however many more others have. share: of the largest
+    smoothed ratio, where the cut lies at least."""
+    lines = lines_of(html)
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], float)
-    ratio = chars / np.array([x[1] for x in lines])
-    plain = np.array([x[4] for x in lines])
-    clusters, stands = [], np.zeros(len(lines), bool)
-    for r in (ratio, np.minimum(ratio, cap)):
-        smoothed = smooth(r, sigma)
-        cut = min(smoothed.std(), smoothed.max())
-        clusters.append(smoothed >= cut)
-        stands |= clusters[-1] & (plain | (r >= cut))
-    articles = any(x[3] for x in lines)
-    total: dict[int, float] = {}
-    good = set()
-    for (_, _, region, inside, _), c, ok, alone in zip(lines, chars, clusters[0], stands, strict=True):
-        if inside or not articles:
-            total[region] = total.get(region, 0.0) + c * (1.0 if ok else 1e-6)
-            if alone:
-                good.add(region)
-    least = share * max(total.values())
-    good.update(r for r, t in total.items() if t >= least)
-    return "\n".join(x[0] for x in lines if x[2] in good and (x[3] or not articles))
+    ratio = np.array([len(x.text) / x.tags for x in lines])
+    weight = np.array([x.weight for x in lines])
+    content, lifted = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
+    for own in (ratio * weight, np.minimum(ratio, cap) * weight):
+        smoothed = smooth(own, sigma)
+        cut = max(min(smoothed.std(), smoothed.max()), share * smoothed.max())
+        lifted |= smoothed >= cut
+        content |= (smoothed >= cut) & (own >= cut)
+        if not content.any():
+            content[smoothed.argmax()] = True
+    good = {x.region for x, c in zip(lines, content, strict=True) if c}
+    return "\n".join(x.text for x, up in zip(lines, lifted.tolist(), strict=True) if x.region in good and (up or x.plain))
 
 
 def extract(df: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
