@@ -12,12 +12,16 @@ SCHEMA = "doc_id long, text string, kept boolean, n_words string"
 def brute(text, rules):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = len(words)
-    windows = Counter(tuple(words[i : i + 5]) for i in range(n - 4))
-    covered = {k for i in range(n - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+
+    def inside(size):
+        windows = Counter(tuple(words[i : i + size]) for i in range(n - size + 1))
+        return {k for i in range(n - size + 1) if windows[tuple(words[i : i + size])] > 1 for k in range(i, i + size)}
+
+    covered = inside(5)
     longest = max((m for m in range(1, n) if len({tuple(words[i : i + m]) for i in range(n - m + 1)}) < n - m + 1), default=0)
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     failed = n < 10 or 100 * len(covered) > 20 * n
-    fine = 100 * len(covered) <= 20 * n and (longest < rules.longest_floor or 100 * longest <= rules.max_longest_percent * n)
+    fine = 100 * len(inside(rules.min_words)) <= rules.max_repeat_percent * n and (longest < rules.longest_floor or 100 * longest <= rules.max_longest_percent * n)
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed, not failed and fine, longest)
 
 
@@ -95,3 +99,24 @@ def test_repeats_over_characters_equal_brute_force():
         inside = {j for i in range(n - 6) if windows[x[i : i + 7]] > 1 for j in range(i, i + 7)}
         most = max((m for m in range(7, n) if len({x[i : i + m] for i in range(n - m + 1)}) < n - m + 1), default=0)
         assert (size[k], covered[k], longest[k]) == (n, len(inside), most)
+
+
+def test_stuttering_passes_the_base_rule_and_not_the_method():
+    rng = random.Random(8)
+    some = unlike(rng, 40)
+    cases = {
+        "each word five times": [w for w in some for _ in range(5)],
+        "each word once": some,
+        "small circles": [w for i in range(0, 40, 4) for w in some[i : i + 4] + [some[i]] + some[i : i + 4]],
+        "four words twice": some[:20] + some[:4] + some[20:],
+    }
+    got = q._measure([" ".join(x).encode() for x in cases.values()], q.Rules())
+    assert dict(zip(cases, zip(got["base_failed"].tolist(), got["kept"].tolist()), strict=True)) == {k: (False, k in ("each word once", "four words twice")) for k in cases}
+
+
+def test_very_long_text():
+    rng = random.Random(9)
+    words = unlike(rng, 150_000)
+    got = q._measure([" ".join(words + words[:20_000]).encode(), ("a " * 200_000).encode(), b"x" * 2_000_000], q.Rules())
+    assert got["n_words"].tolist() == [170_000, 200_000, 1] and got["base_failed"].tolist() == [True, True, True]
+    assert got["longest_repeat"].tolist() == [20_000, 199_999, 0]

@@ -6,7 +6,8 @@ longest common prefix (LCP) of neighbours in the array by descending powers of t
 suffix reaches max(lcp before, lcp after); where it has `min_words` words or more, that prefix is a maximal repeated
 substring's occurrence. The union of these spans gives the covered words, the largest LCP the longest repeat.
 
-The limits over words say no more than the base rule, except of runs that overlap themselves. Documents that pass them are
+The method's covered fraction takes in shorter repeats than the base rule, which sees five words and more: texts that stutter
+or turn in small circles. Its longest repeat says more than the base rule only of runs that overlap themselves. Documents that pass both are
 measured again over code points, white space included, so inside words too, with repeats of `min_chars` or more and limits of
 their own. A document can hold such a repeat only where two of its windows of `min_chars` hash alike; the others need no array.
 
@@ -15,7 +16,6 @@ Defined results: a null or blank text has no words and fails the base rules. Rep
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SYMBOLS = b"#*$%&|<>"
-SPACE = b" \t\n\r\x0b\x0c"
+#: Words of the base rule's repeats.
+BASE_WORDS = 5
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,9 @@ class Rules:
     """Limits. A document is kept if it passes the base rules and the limits of the method, over words and over characters."""
 
     min_doc_words: int = 10
-    min_words: int = 5  # a repeat has so many words at least
-    max_repeat_percent: int = 20  # words inside such repeats, base rule and covered fraction
+    base_percent: int = 20  # base rule: words inside repeats of BASE_WORDS or more
+    min_words: int = 4  # the method: a repeat has so many words at least
+    max_repeat_percent: int = 25  # words inside such repeats; above the base rule's share, so that only shorter repeats decide
     max_longest_percent: int = 10  # longest repeat, in words of the document; the base rule bounds it unless it overlaps itself
     longest_floor: int = 50  # shorter longest repeats pass always
     min_chars: int = 200  # a repeat over characters; twice what lines of clean documents that repeat by chance or by habit reach
@@ -101,21 +102,27 @@ def neighbour_lcp(doc: np.ndarray, rank: np.ndarray, rounds: list[np.ndarray]) -
     return array, lcp
 
 
-def repeats(doc: np.ndarray, word: np.ndarray, n_docs: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document: words inside repeats of min_words or more, words of the longest repeat; and the length of the
-    longest repeat that begins at each word (0 if below min_words)."""
-    if not len(word):
-        return np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), np.zeros(0, np.int64)
-    rank, rounds = suffix_ranks(doc, word)
-    array, lcp = neighbour_lcp(doc, rank, rounds)
+def deepest_repeats(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The length of the longest repeat that begins at each word: the depth of the deepest LCP interval that holds its suffix."""
     deepest = np.zeros(len(word), np.int64)
-    deepest[array] = np.maximum(lcp, np.append(lcp[1:], 0))
-    longest = np.zeros(n_docs, np.int64)
-    np.maximum.at(longest, doc, deepest)
-    deepest[deepest < min_words] = 0
-    reach = np.maximum.accumulate(np.where(deepest > 0, np.arange(len(word)) + deepest, 0))
-    covered = np.bincount(doc[reach > np.arange(len(word))], minlength=n_docs)
-    return covered, longest, deepest
+    if len(word):
+        array, lcp = neighbour_lcp(doc, *suffix_ranks(doc, word))
+        deepest[array] = np.maximum(lcp, np.append(lcp[1:], 0))
+    return deepest
+
+
+def covered(doc: np.ndarray, deepest: np.ndarray, n_docs: int, least: int) -> np.ndarray:
+    """For each document: words inside the union of its repeats of `least` words or more."""
+    at = np.arange(len(deepest))
+    reach = np.maximum.accumulate(np.where(deepest >= least, at + deepest, 0))
+    return np.bincount(doc[reach > at], minlength=n_docs)
+
+
+def longest(doc: np.ndarray, deepest: np.ndarray, n_docs: int) -> np.ndarray:
+    """For each document: words of its longest repeat."""
+    out = np.zeros(n_docs, np.int64)
+    np.maximum.at(out, doc, deepest)
+    return out
 
 
 def suspects(doc: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
@@ -139,17 +146,15 @@ def char_repeats(texts: list[bytes], min_chars: int) -> tuple[np.ndarray, np.nda
     """For each text: its code points, those inside repeats of min_chars or more, and those of the longest repeat (0 if below)."""
     coded = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for x in texts]
     size = np.fromiter(map(len, coded), np.int64, len(coded))
-    covered, longest = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
+    inside, most = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64)
     if size.sum():
         held = suspects(np.repeat(np.arange(len(coded)), size), np.concatenate(coded), min_chars)
         if len(held):
             doc = np.repeat(np.arange(len(held)), size[held])
-            covered[held], most, _ = repeats(doc, np.concatenate([coded[k] for k in held]).astype(np.int64), len(held), min_chars)
-            longest[held] = np.where(most >= min_chars, most, 0)
-    return size, covered, longest
-
-
-_find = re.compile(rb"[#*$%&|<>]").findall
+            deepest = deepest_repeats(doc, np.concatenate([coded[k] for k in held]).astype(np.int64))
+            deepest[deepest < min_chars] = 0
+            inside[held], most[held] = covered(doc, deepest, len(held), min_chars), longest(doc, deepest, len(held))
+    return size, inside, most
 
 
 def _measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
@@ -158,19 +163,20 @@ def _measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(len(split)), n_words)
     flat = [w for x in split for w in x]
     word = pa.array(flat, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64) if flat else np.empty(0, np.int64)
-    covered, longest, _ = repeats(doc, word, len(split), rules.min_words)
+    deepest = deepest_repeats(doc, word)
+    repeated, own, most = covered(doc, deepest, len(split), BASE_WORDS), covered(doc, deepest, len(split), rules.min_words), longest(doc, deepest, len(split))
     chars = [len(x.decode("utf-8", "replace")) - sum(map(x.count, (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))) for x in texts]
     symbols = [sum(map(x.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) for x in texts]
     dup = []
     for x in texts:
         lines = [y for y in x.split(b"\n") if y and not y.isspace()]
         dup.append(len(lines) - len(set(lines)))
-    failed = (n_words < rules.min_doc_words) | (100 * covered > rules.max_repeat_percent * n_words)
-    method = (100 * covered <= rules.max_repeat_percent * n_words) & ((longest < rules.longest_floor) | (100 * longest <= rules.max_longest_percent * n_words))
+    failed = (n_words < rules.min_doc_words) | (100 * repeated > rules.base_percent * n_words)
+    method = (100 * own <= rules.max_repeat_percent * n_words) & ((most < rules.longest_floor) | (100 * most <= rules.max_longest_percent * n_words))
     kept = ~failed & method
     size, in_chars, longest_chars = char_repeats([x for x, k in zip(texts, kept, strict=True) if k], rules.min_chars)
     kept[kept] = (100 * in_chars <= rules.max_char_percent * size) & (100 * longest_chars <= rules.max_longest_char_percent * size)
-    return {"n_words": n_words, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": covered, "base_failed": failed, "kept": kept, "longest_repeat": longest}
+    return {"n_words": n_words, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": repeated, "base_failed": failed, "kept": kept, "longest_repeat": most}
 
 
 MEASURES = T.StructType([T.StructField(n, T.BooleanType() if n in ("base_failed", "kept") else T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")])

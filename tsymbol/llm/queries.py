@@ -92,14 +92,15 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _OP2 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, len({_WORDS}) AS n FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-g AS (SELECT doc_id, p, [w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, lead(w, 4) OVER s] AS five FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY p)),
-r AS (SELECT doc_id, p FROM (SELECT doc_id, p, five[5] AS last, count(*) OVER (PARTITION BY doc_id, five) AS c FROM g) WHERE c > 1 AND last IS NOT NULL),
-v AS (SELECT doc_id, count(DISTINCT p + i) AS covered FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS i) GROUP BY doc_id),
+g AS (SELECT doc_id, p, k, [w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, CASE WHEN k = 5 THEN lead(w, 4) OVER s END] AS run FROM w, (SELECT unnest([4, 5]) AS k) WINDOW s AS (PARTITION BY doc_id, k ORDER BY p)),
+q AS (SELECT doc_id, k, p FROM (SELECT doc_id, k, p, run[k] AS last, count(*) OVER (PARTITION BY doc_id, k, run) AS c FROM g) WHERE c > 1 AND last IS NOT NULL),
+v AS (SELECT doc_id, count(DISTINCT p + i) FILTER (k = 5) AS covered, count(DISTINCT p + i) FILTER (k = 4) AS own FROM q, (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE i < k GROUP BY doc_id),
+r AS (SELECT doc_id, p FROM q WHERE k = 5),
 long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, run, count(*) AS c FROM (SELECT d.doc_id, ws[p:p + most - 1] AS run, most FROM r JOIN (SELECT *, greatest(50, n // 10 + 1) AS most FROM d) d ON d.doc_id = r.doc_id WHERE p + most - 1 <= n) GROUP BY doc_id, run) WHERE c > 1),
 l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, n AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(dup, 0) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, n < 10 OR 100 * coalesce(covered, 0) > 20 * n AS base_failed FROM d LEFT JOIN v ON v.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id)
-SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM long) AS kept FROM m"""
+  coalesce(dup, 0) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, n < 10 OR 100 * coalesce(covered, 0) > 20 * n AS base_failed, 100 * coalesce(own, 0) > 25 * n AS circles FROM d LEFT JOIN v ON v.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT * EXCLUDE (circles), NOT base_failed AND NOT circles AND doc_id NOT IN (SELECT doc_id FROM long) AS kept FROM m"""
 
 _OP3 = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
