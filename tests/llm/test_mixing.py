@@ -60,3 +60,10 @@ def test_empty_and_wordless(spark):
     assert m.plan(df).count() == 0 and m.sample(df).count() == 0
     blank = spark.createDataFrame([(1, " ", "x"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.repeats) for r in m.plan(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_source_of_null_or_equal_ids_is_split(spark):
+    rows = [(None, f"w{i} " * 10, "a") for i in range(300)] + [(7, f"w{i} " * 10, "b") for i in range(300)] + [(i, "x " * 10, "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: (r.taken, r.target) for r in m.plan(df).groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(a - b) <= 60 for a, b in taken.values())

@@ -5,11 +5,11 @@ a cap leaves over goes to the others by weight until none is above its cap. As t
 order of size over weight, so that the level follows from running sums over the sources.
 
 Taking: a source's target over its size gives whole repetitions of every document and a fraction. For the fraction, the
-documents fall into buckets by a seeded hash, the buckets' sizes are summed (map-side first), and whole buckets are taken in
+documents fall into buckets by a seeded hash of id and text, the buckets' sizes are summed (map-side first), and whole buckets are taken in
 order until the remaining target is met as nearly as a bucket allows. A hot source so costs as many rows as it has buckets.
 
-Defined results: a null text has size 0. A null source is a source of its own, the last. Repeated rows each give a row and
-fall into one bucket. An empty table gives no rows; sources without any word have target 0 and their documents are not taken.
+Defined results: a null text has size 0. A null source is a source of its own, the last. Rows that repeat both id and
+text each give a row and fall into one bucket, so that all or none of them are in the fraction. An empty table gives no rows; sources without any word have target 0 and their documents are not taken.
 """
 
 from __future__ import annotations
@@ -56,7 +56,9 @@ def plan(df: DataFrame, mix: Mix | None = None, *, text: str = "text", source: s
     """df with size, source_size, target and repeats (how many times a document is taken) under names that don't clash; see `planned`."""
     mix = mix or Mix()
     size, source_size, target, repeats, bucket, own = planned(df)
-    hashed = F.pmod(F.xxhash64(F.lit(mix.seed), F.col(key)), F.lit(mix.buckets)).cast("int")
+    # a hash that SQL elsewhere has too; the text is in it for ids that are null or not unique
+    digest = F.md5(F.concat(F.lit(f"{mix.seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))
+    hashed = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % mix.buckets).cast("int")
     rows = df.withColumns({size: words(F.col(text)), bucket: hashed, own: F.struct(F.col(source).alias("source"))})
     by_bucket = rows.groupBy(F.col(own).alias("own"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words"))
     sizes = by_bucket.groupBy("own").agg(F.sum("words").alias("source_size")).select(F.col("own.source").alias("source"), "source_size")

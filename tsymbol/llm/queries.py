@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsymbol.llm import bpe, chat, html, huffman, linededup, minhash, mixing, neighbours, quality, urls
-from tsymbol.llm.common import shared_path, table
+from tsymbol.llm.common import materialise, shared_path, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what reading the formatted conversations back gives."""
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.examples(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(own)))
+    made = chat.examples(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(own))
+    return chat.digests(materialise(made, "chat-examples"))
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +116,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(24 + length({_ESCAPED.format("replace(replace(role, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n')")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+_MIX = mixing.Mix()
+_OP7 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, (('0x' || substr(md5('{_MIX.seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 8))::BIGINT % {_MIX.buckets})::INT AS bucket FROM documents),
+b AS (SELECT source, bucket, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+s AS (SELECT source, sum(words)::BIGINT AS source_size, ({list(_MIX.weights)})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_MIX.weights)} + 1]::DOUBLE AS w FROM b GROUP BY source),
+c AS (SELECT *, (source_size * {_MIX.max_epochs})::DOUBLE AS cap FROM s),
+f AS (SELECT *, least(sum(source_size) OVER () * {_MIX.budget_percent} / 100.0::DOUBLE, sum(cap) OVER ()) AS budget, coalesce(sum(cap) OVER below, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER below, 0) AS open FROM c WINDOW below AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max(CASE WHEN (budget - filled) / open * w <= cap THEN (budget - filled) / open END) OVER () AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM t),
+k AS (SELECT b.source, b.bucket, source_size, target, whole + CASE WHEN words > 0 AND coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY b.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END AS repeats FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * repeats)::BIGINT AS taken FROM d JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.bucket = d.bucket"""
+
 _OP8 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i:i + 2]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS x FROM d),
@@ -150,11 +164,12 @@ def _op10(tree: urls.Tree) -> str:
     return sql + f" SELECT page_id, c.host, path, rule, coalesce(said, CASE WHEN purity >= {tree.reject} THEN 'block' ELSE 'allow' END) AS verdict, {template} AS template FROM c JOIN n{len(names)} x ON {' AND '.join(f'x.{s} = c.{s}' for s in ['host', *names])}"
 
 
-#: Where a key is missing, SQL can't say it (BPE, the HTML parser, Spark's hash in the mix, run doubling); tests/llm has brute force.
+#: Where a key is missing, SQL can't say it (BPE, the HTML parser, rank doubling); tests/llm has brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_repetition": _OP2,
     "op3_nearest": _OP3,
     "op4_chat_prefixes": _OP4,
+    "op7_source_mixing": _OP7,
     "op8_minhash_near": _OP8,
     "op10_url_templates": _op10(urls.Tree()),
 }
