@@ -37,7 +37,9 @@ def symbol(label: Column, k: Column, choice: int | Sequence[str] = 0) -> Column:
     """Symbol of a label where there are k labels."""
     letters = alphabet(choice)
     own = F.try_element_at(F.array(*map(F.lit, letters)), label + 1)
-    return own if not isinstance(choice, int) else F.when(k < len(letters), own).otherwise(F.char(label + 33))
+    # char() knows 256 characters only
+    other = F.decode(F.unhex(F.lpad(F.hex((label + 33).cast("long")), 8, "0")), "UTF-32")
+    return own if not isinstance(choice, int) else F.when(k < len(letters), own).otherwise(other)
 
 
 def whole_lengths(lengths: Column) -> Column:

@@ -280,11 +280,42 @@ def assign_symbols(spark, sf_dir):
     return rows.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "symbol"))), lambda s: s["symbol"]), "").alias("symbols"))
 
 
+#: Sort keys in SQL; pca: the axis of a symmetric matrix by its angle, turned so that the first point isn't above 0.
+_KEYS = {"2-norm": "sqrt(x * x + y * y)", "norm": "sqrt(x * x + y * y)", "1-norm": "abs(x) + abs(y)", "lexi": "x", "pca": "CASE WHEN first_value(pc) OVER (ORDER BY series_id, idx) > 0 THEN -pc ELSE pc END"}
+_PCA = "SELECT s.*, (x - avg(x) OVER ()) * cos(turn) + (y - avg(y) OVER ()) * sin(turn) AS pc FROM scaled s, (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS turn FROM scaled)"
+
+
+def greedy_sql(points: str, alpha: str, sorting: str = "2-norm", own: str = "") -> str:
+    """CTEs ending in g(series_id, idx, label): greedy sorted aggregation of points(series_id, idx, x, y) as a recursion, a group
+    a step: the first free point takes all free points within alpha. own: the column in each of whose values grouping begins anew.
+    By 1-norm, a group ends before the first free point that is further off in both key and distance."""
+    by = f"PARTITION BY {own}" if own else ""
+    order = "x, y, series_id, idx" if sorting == "lexi" else "key, series_id, idx"
+    source = _PCA if sorting == "pca" else "SELECT * FROM scaled"
+    bar = f"AND ord < coalesce(min(ord) FILTER (NOT near AND key - hkey > {alpha}) OVER ({by}), 9223372036854775807)" if sorting == "1-norm" else ""
+    return f""",
+scaled AS MATERIALIZED ({points}),
+keyed AS (SELECT *, {_KEYS[sorting]} AS key FROM ({source})),
+r(step, series_id, idx, ord, x, y, key, label) AS (
+  SELECT 0::BIGINT, series_id, idx, row_number() OVER ({by} ORDER BY {order}), x, y, key, NULL::BIGINT FROM keyed
+  UNION ALL
+  SELECT step + 1, series_id, idx, ord, x, y, key, CASE WHEN near {bar} OR ord = head THEN step END FROM (
+    SELECT *, (x - hx) * (x - hx) + (y - hy) * (y - hy) <= ({alpha}) * ({alpha}) AS near FROM (
+      SELECT *, min(ord) OVER w AS head, arg_min(x, ord) OVER w AS hx, arg_min(y, ord) OVER w AS hy, arg_min(key, ord) OVER w AS hkey FROM r WHERE label IS NULL WINDOW w AS ({by})))),
+g AS (SELECT series_id, idx, label FROM r WHERE label IS NOT NULL)
+"""
+
+
+_JOINT_POINTS = "SELECT series_id, idx, x, y FROM (" + _SCALED + ")"
+
+
 def _aggregate(sorting: str, alpha: float):
+    ORACLE_SQL[f"aggregate_{sorting.replace('-', '')}"] = pieces_sql(WALKS, 0.1) + greedy_sql(_JOINT_POINTS, f"{alpha}::DOUBLE", sorting) + "SELECT series_id, idx, label FROM g"
+
     def f(spark, sf_dir):
         rows = pieces(spark, sf_dir)
         labelled, _ = digitize.aggregate(rows.select("series_id", "channel", "idx", *digitize.scaled(digitize.scale_of(rows))), alpha, sorting)
-        return labelled.select("series_id", "idx", "label")
+        return labelled.select("series_id", F.col("idx").cast("long").alias("idx"), F.col("label").cast("long").alias("label"))
 
     QUERIES[f"aggregate_{sorting.replace('-', '')}"] = f
 
@@ -316,20 +347,50 @@ def cluster_fewest(spark, sf_dir):
 # --- symbolizers
 
 
-@query()
+_EACH = pieces_sql(WALKS, 0.1) + greedy_sql("SELECT p.series_id, idx, len / CASE WHEN sl = 0 THEN 1 ELSE sl END AS x, inc / CASE WHEN si = 0 THEN 1 ELSE si END AS y FROM pieces p JOIN (SELECT series_id, stddev_pop(len) AS sl, stddev_pop(inc) AS si FROM pieces GROUP BY series_id) d ON d.series_id = p.series_id", "0.1::DOUBLE", own="series_id")
+_LETTER = "CASE WHEN k < 52 THEN substr('" + "".join(C.alphabet()) + "', (label + 1)::INT, 1) ELSE chr((label + 33)::INT) END"
+
+
+@query(_EACH + f""", b AS (SELECT series_id, max(label) + 1 AS k, count(*) AS c FROM g GROUP BY series_id), n AS (SELECT series_id, count(*) AS n FROM pts GROUP BY series_id), t AS (SELECT g.series_id, string_agg({_LETTER}, '' ORDER BY idx) AS s FROM g JOIN b ON b.series_id = g.series_id GROUP BY g.series_id)
+SELECT n.series_id, n::INT AS n, coalesce(c, 0)::INT AS n_pieces, coalesce(k, 0)::INT AS n_symbols, coalesce(s, '') AS string FROM n LEFT JOIN b ON b.series_id = n.series_id LEFT JOIN t ON t.series_id = n.series_id""")
 def symbolize_each(spark, sf_dir):
     """The flagship: every user's running total in symbols."""
     made = estimators.EachSymbolizer(tol=0.1, alpha=0.1).transform(walk_series(spark, sf_dir))
     return made.select("series_id", "n", F.size("pieces").alias("n_pieces"), F.size("codebook").alias("n_symbols"), "string")
 
 
-@query()
+@query(_EACH + f""", m AS (SELECT p.series_id, label, avg(len) AS len, avg(inc) AS inc FROM pieces p JOIN g ON g.series_id = p.series_id AND g.idx = p.idx GROUP BY ALL),
+a AS MATERIALIZED (SELECT g.series_id, idx, len, inc, max(idx) OVER (PARTITION BY g.series_id) AS last FROM g JOIN m ON m.series_id = g.series_id AND m.label = g.label),
+w(series_id, idx, carry, whole) AS (
+  SELECT DISTINCT series_id, -1::BIGINT, 0::DOUBLE, 0::DOUBLE FROM pts
+  UNION ALL
+  SELECT series_id, idx, want - got, got FROM (SELECT series_id, idx, want, CASE WHEN round_even(want, 0) = 0 AND idx < last THEN 1 ELSE round_even(want, 0) END AS got FROM (
+    SELECT w.series_id, a.idx, last, len + w.carry AS want FROM w JOIN a ON a.series_id = w.series_id AND a.idx = w.idx + 1))),
+o AS (SELECT a.series_id, a.idx, whole, inc, st.value + coalesce(sum(inc) OVER before_, 0) AS x, coalesce(sum(whole) OVER before_, 0) AS place FROM a JOIN w ON w.series_id = a.series_id AND w.idx = a.idx JOIN pts st ON st.series_id = a.series_id AND st.t = 0 WINDOW before_ AS (PARTITION BY a.series_id ORDER BY a.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT series_id, (place + i)::INT AS t, {q6('x + i / whole * inc')} AS value FROM (SELECT *, unnest(generate_series(1, whole::BIGINT)) AS i FROM o) UNION ALL SELECT series_id, 0, {q6('value')} FROM pts WHERE t = 0""")
 def reconstruct_each(spark, sf_dir):
     s = estimators.EachSymbolizer(tol=0.1, alpha=0.1)
     return s.inverse(s.transform(walk_series(spark, sf_dir))).select("series_id", "t", r6("value").alias("value"))
 
 
-def _joint(name: str, make):
+#: alpha from the number of points and pieces, for a tolerance.
+_AUTO = "(SELECT (30 * (s - n) * {tol}::DOUBLE * {tol} / (81 * s)) ^ 0.25 FROM (SELECT (SELECT count(*) FROM pts) AS s, (SELECT count(*) FROM pieces) AS n))"
+
+
+def joint_sql(alpha: float | None, sorting: str = "norm", *, source: str = WALKS, tol: float = 0.1, fixed_point: bool = False, counts: bool = True) -> str:
+    """Symbols of all series over one codebook of greedy groups. fixed_point: increments are the end values of pieces."""
+    ends = ", ends_ AS (SELECT p.series_id, idx, len, sum(len) OVER (PARTITION BY p.series_id ORDER BY idx) AS at FROM pieces p)"
+    pieces_ = "(SELECT e.series_id, idx, len, value AS inc FROM ends_ e JOIN pts ON pts.series_id = e.series_id AND pts.t = e.at)" if fixed_point else "pieces"
+    points = f"SELECT series_id, idx, len / CASE WHEN sl = 0 THEN 1 ELSE sl END AS x, inc / CASE WHEN si = 0 THEN 1 ELSE si END AS y FROM {pieces_} p, (SELECT stddev_pop(len) AS sl, stddev_pop(inc) AS si FROM {pieces_})"
+    near = f"{alpha}::DOUBLE" if alpha else _AUTO.format(tol=tol)
+    return pieces_sql(source, tol) + (ends if fixed_point else "") + f", al AS MATERIALIZED (SELECT {near} AS alpha)" + greedy_sql(points, "(SELECT alpha FROM al)", sorting) + f""", k AS (SELECT max(label) + 1 AS k FROM g),
+t AS (SELECT series_id, string_agg({_LETTER}, '' ORDER BY idx) AS symbols FROM g, k GROUP BY series_id) SELECT n.series_id{", n::INT AS n" if counts else ""}, coalesce(symbols, '') AS symbols FROM (SELECT series_id, count(*) AS n FROM pts GROUP BY series_id) n LEFT JOIN t ON t.series_id = n.series_id"""
+
+
+def _joint(name: str, make, sql: str | None = None):
+    if sql:
+        ORACLE_SQL[name] = sql
+
     def f(spark, sf_dir):
         _, symbols = make().fit_transform(walk_series(spark, sf_dir))
         return symbols.select("series_id", "n", F.array_join("symbols", "").alias("symbols"))
@@ -337,14 +398,14 @@ def _joint(name: str, make):
     QUERIES[name] = f
 
 
-_joint("symbolize_joint", lambda: estimators.joint(tol=0.1))
-_joint("symbolize_joint_pca", lambda: estimators.joint(tol=0.1, alpha=0.2, sorting="pca"))
+_joint("symbolize_joint", lambda: estimators.joint(tol=0.1), joint_sql(None))
+_joint("symbolize_joint_pca", lambda: estimators.joint(tol=0.1, alpha=0.2, sorting="pca"), joint_sql(0.2, "pca"))
 _joint("symbolize_joint_k_means", lambda: estimators.joint(tol=0.1, init="k-means", k=8))
-_joint("symbolize_quantized", lambda: estimators.quantized(tol=0.1))
-_joint("symbolize_fixed_point", lambda: estimators.fixed_point(tol=0.1))
+_joint("symbolize_quantized", lambda: estimators.quantized(tol=0.1), joint_sql(None))
+_joint("symbolize_fixed_point", lambda: estimators.fixed_point(tol=0.1), joint_sql(0.1, fixed_point=True))
 _joint("symbolize_fast", lambda: estimators.fast(tol=0.1, k=8))
-_joint("symbolize_fast_quantized", lambda: estimators.fast_quantized(tol=0.1))
-_joint("symbolize_fast_fixed_point", lambda: estimators.fast_fixed_point(tol=0.1))
+_joint("symbolize_fast_quantized", lambda: estimators.fast_quantized(tol=0.1), joint_sql(0.5))
+_joint("symbolize_fast_fixed_point", lambda: estimators.fast_fixed_point(tol=0.1), joint_sql(0.5, fixed_point=True))
 
 
 @query()
@@ -357,7 +418,10 @@ def symbolize_unseen(spark, sf_dir):
     return metrics.relative_error(to_points(other, ["series_id"]), back)
 
 
-@query()
+_OVER_SERIES = f"SELECT series_id, t, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS value FROM ({POINTS}) WINDOW w AS (PARTITION BY t)"
+
+
+@query(joint_sql(None, source=_OVER_SERIES, tol=0.3, counts=False))
 def symbolize_standardised(spark, sf_dir):
     model, symbols, _ = estimators.general_compress(estimators.joint(tol=0.3), points(spark, sf_dir).select("series_id", F.lit(0).alias("channel"), "t", "value"))
     return symbols.select("series_id", F.array_join("symbols", "").alias("symbols"))
@@ -652,7 +716,16 @@ def l2_errors(spark, sf_dir):
     return metrics.l2_errors(_with_sax(spark, sf_dir)).select("series_id", r6("l2").alias("l2"), r6("l2_diff").alias("l2_diff"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT series_id, t, value::DOUBLE AS value FROM ({WALKS})),
+d(series_id, i, j, total) AS (
+  SELECT a.series_id, 0::BIGINT, b.t, sum((a.value - b.value) * (a.value - b.value)) OVER (PARTITION BY a.series_id ORDER BY b.t) FROM v a JOIN v b ON b.series_id = a.series_id + 1 WHERE a.t = 0
+  UNION ALL
+  SELECT series_id, i, j, upto + min(best - (upto - cost)) OVER (PARTITION BY series_id ORDER BY j) FROM (
+    SELECT *, sum(cost) OVER (PARTITION BY series_id ORDER BY j) AS upto FROM (
+      SELECT d.series_id, d.i + 1 AS i, j, (a.value - b.value) * (a.value - b.value) AS cost, least(total, coalesce(lag(total) OVER (PARTITION BY d.series_id ORDER BY j), 'infinity'::DOUBLE)) AS best
+      FROM d JOIN v a ON a.series_id = d.series_id AND a.t = d.i + 1 JOIN v b ON b.series_id = d.series_id + 1 AND b.t = d.j)))
+SELECT series_id, {q6("arg_max(total, (i, j))")} AS dtw FROM d GROUP BY series_id""")
 def dtw_distance(spark, sf_dir):
     """Each user's walk against the walk of the next user by id."""
     rows = walk_series(spark, sf_dir).select("series_id", F.col("values").alias("a"))
