@@ -66,13 +66,12 @@ def inverse_one_d_sax(made: DataFrame, width: int, slopes: int, means: int) -> D
 
 
 def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    half = 0.5 * weights.sum()
-    if (weights > half).any():
-        return float(values[np.argmax(weights)])
-    order = np.lexsort((weights, values))
-    v, upto = values[order], np.cumsum(weights[order])
-    at = int(np.flatnonzero(upto <= half)[-1])
-    return float(v[at : at + 2].mean() if upto[at] == half else v[at + 1])
+    """The least value up to which the weights pass half of their sum; where they just reach it, the mean with the next."""
+    order = np.argsort(values, kind="stable")
+    ranked, upto = values[order], np.cumsum(weights[order])
+    at = int(np.searchsorted(2 * upto, upto[-1]))
+    exact = 2 * upto[at] == upto[-1] and at + 1 < len(ranked)
+    return float((ranked[at] + ranked[at + 1]) / 2 if exact else ranked[at])
 
 
 def fit_value(values: np.ndarray, weighted: bool, norm: int) -> tuple[float, float]:

@@ -31,10 +31,35 @@ def tokens(df: DataFrame) -> DataFrame:
     return df.select("doc", F.posexplode("seq").alias("pos", "token"))
 
 
+def token_counts(df: DataFrame) -> DataFrame:
+    """(doc, token, n, pos): how often a document has a token, and where first. What needs tokens per document begins here, so
+    that Spark reuses the one exchange and no text is cut up twice."""
+    return tokens(df).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+
+
+def _vocabulary(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, id, n): ids from 1 by first appearance, counts in the whole corpus.
+
+    Tokens are numbered by ranges of the document that they first appear in; the ranges' bounds are a sample of documents by
+    hash, and a number a range is added up, so that no task sees the whole vocabulary."""
+    found = counts.groupBy("token").agg(F.min(F.struct("doc", "pos")).alias("at"), F.sum("n").alias("n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(r[0] for r in df.select("doc").filter("doc is not null").orderBy(F.xxhash64("doc"), "doc").limit(min(ranges, MOST_RANGES)).collect())
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("at.doc"))) if bounds else F.lit(0)
+    own = Window.partitionBy("part").orderBy("at")
+    rows = found.withColumn("part", F.coalesce(below, F.lit(-1))).withColumn("own", F.row_number().over(own))
+    sizes = found.withColumn("part", F.coalesce(below, F.lit(-1))).groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("token", (F.col("before") + F.col("own")).cast("int").alias("id"), "n")  # a row a range
+
+
+#: Ranges of documents in which tokens are numbered.
+MOST_RANGES = 1000
+
+
 def dictionary(df: DataFrame) -> DataFrame:
-    """(token, id): ids from 1 by first appearance. The window sees a row a token of the vocabulary."""
-    first = tokens(df).groupBy("token").agg(F.min(F.struct("doc", "pos")).alias("at"))
-    return first.select("token", F.row_number().over(Window.orderBy("at")).alias("id"))
+    """(token, id): ids from 1 by first appearance."""
+    return _vocabulary(df, token_counts(df)).select("token", "id")
 
 
 def corpus_size(df: DataFrame) -> DataFrame:
@@ -47,21 +72,24 @@ def symbol_counts(df: DataFrame) -> DataFrame:
 
 def categorical(df: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(doc, ids): sequences of ids."""
-    words = words or dictionary(df)
+    words = dictionary(df) if words is None else words
     rows = tokens(df).join(words, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
     return df.select("doc").join(rows, "doc", "left").select("doc", F.coalesce(F.transform("x", lambda s: s["id"]), F.array().cast("array<int>")).alias("ids"))
 
 
 def bag_of_words(df: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(doc, id, value): for each token of a document, its count in the whole corpus."""
-    words = words or dictionary(df)
-    return tokens(df).select("doc", "token").distinct().join(symbol_counts(df), "token").join(words, "token").select("doc", "id", F.col("n").cast("double").alias("value"))
+    counts = token_counts(df)
+    totals = counts.groupBy("token").agg(F.sum("n").alias("total"))
+    known = _vocabulary(df, counts).withColumnRenamed("n", "total") if words is None else words.join(totals, "token")
+    return counts.join(known, "token").select("doc", "id", F.col("total").cast("double").alias("value"))
 
 
 def one_hot(df: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(doc, id, value): 1 for each token of a document."""
-    words = words or dictionary(df)
-    return tokens(df).select("doc", "token").distinct().join(words, "token").select("doc", "id", F.lit(1.0).alias("value"))
+    counts = token_counts(df)
+    words = _vocabulary(df, counts) if words is None else words
+    return counts.select("doc", "token").join(words, "token").select("doc", "id", F.lit(1.0).alias("value"))
 
 
 def dense(df: DataFrame, cells: DataFrame, width: int) -> DataFrame:
@@ -142,11 +170,11 @@ def class_matrix(weights: DataFrame, label: str = "label", value: str = "tf_idf"
 def classify(df: DataFrame, matrix: DataFrame, label: str = "label") -> DataFrame:
     """(doc, label, distance): the class of least cosine distance between counts and weights, ties to the smaller label.
     The norm of a document counts the matrix's tokens only. Documents without any of them get distance 1 and the smallest label."""
-    terms = matrix.select("token").distinct()
-    counts = tokens(df).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n")).join(terms, "token")
+    weights = matrix.groupBy("token").agg(F.collect_list(F.struct(label, "weight")).alias("weights"))  # a weight a class
+    counts = token_counts(df).join(weights, "token")
     norm = counts.groupBy("doc").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("dn"))
     class_norm = matrix.groupBy(label).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("cn"))
-    dots = counts.join(matrix, "token").groupBy("doc", label).agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    dots = counts.select("doc", "n", F.inline("weights")).groupBy("doc", label).agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
     scores = dots.join(norm, "doc").join(class_norm, label).select("doc", label, (1 - F.col("dot") / (F.col("dn") * F.col("cn"))).alias("distance"))
     best = scores.groupBy("doc").agg(F.min(F.struct("distance", label)).alias("b"))
     smallest: Column = F.lit(matrix.agg(F.min(label)).first()[0])
