@@ -68,3 +68,14 @@ def test_memory_that_is_full_changes_nothing(reference, monkeypatch):
 def test_repeated_rows_stay(spark):
     df = spark.createDataFrame([(5, "x y")] * 3, "doc_id long, text string")
     assert bpe.encode(df, PATH).agg(F.count("ids")).first()[0] == 3
+
+
+def test_checked_encoding(spark, monkeypatch):
+    df = rows(spark)
+    want = {r.doc_id: list(r.ids) for r in bpe.encode(df, PATH).collect()}
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df, PATH, checked=True).collect()} == want
+    import pyarrow as pa
+
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    ids, size = codec.ids(pa.array(["abc def"]))
+    assert codec.decode(ids[::-1], size) != [b"abc def"]

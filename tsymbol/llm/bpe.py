@@ -183,8 +183,9 @@ def _broadcast(df: DataFrame, path: str, pattern: str | None):
     return df.sparkSession.sparkContext.broadcast((key, ranks, pattern))
 
 
-def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None, ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """keep, the token ids of each text as array<int>, and with `decoded` the bytes that they decode to. No shuffle."""
+def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None, ids: str = "ids", decoded: str | None = None, checked: bool = False) -> DataFrame:
+    """keep, the token ids of each text as array<int>, and with `decoded` the bytes that they decode to. No shuffle.
+    checked: the ids of every text are decoded, and a difference from the text is an error."""
     vocabulary = _broadcast(df, path, pattern)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("\0text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
@@ -195,8 +196,10 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
             for part in parts(whole):
                 made, size = codec.ids(part.column(part.num_columns - 1))
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(made.astype(np.int32)))
-                back = [pa.array(codec.decode(made, size), pa.binary())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *back], names=[f.name for f in schema])
+                back = pa.array(codec.decode(made, size) if decoded or checked else [], pa.binary())
+                if checked and not back.equals(part.column(part.num_columns - 1).cast(pa.binary())):
+                    raise ValueError("ids that don't decode to their text")
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *[back] * bool(decoded)], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
