@@ -36,8 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the token ids of each copy."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("doc_id", "source"))
+    """doc_id, source and the token ids of each copy; that they decode to its text is checked."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("doc_id", "source"), checked=True)
 
 
 STAGES = [
