@@ -57,6 +57,7 @@ def test_memory_that_is_full_changes_nothing(reference, monkeypatch):
 
     monkeypatch.setattr(bpe, "DECODED", 100)
     codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    codec.open()
     codec.texts.most = 3
     for _ in range(2):
         ids, size = codec.ids(pa.array(texts()))
@@ -77,5 +78,6 @@ def test_checked_encoding(spark, monkeypatch):
     import pyarrow as pa
 
     codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    codec.open()
     ids, size = codec.ids(pa.array(["abc def"]))
     assert codec.decode(ids[::-1], size) != [b"abc def"]

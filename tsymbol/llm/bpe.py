@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,11 @@ from tsymbol.llm.split import TextIds, parts
 #: Words of more bytes take the form of the query for long words.
 LONG = 48
 #: Ids that go through one query that decodes.
-DECODED = 2_000_000
+DECODED = 500_000
 #: Distinct words that go through one query.
-BATCH = 40_000
+BATCH = 20_000
+#: Strings whose ids a process keeps.
+KNOWN = 100_000
 #: Steps of a query for long words, after which it starts again from its last rows.
 STEPS = 48
 
@@ -85,20 +89,29 @@ class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
-
-        self.texts = TextIds(pattern, self.learn)
+        self.texts = TextIds(pattern, self.learn, known=KNOWN)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a, b, k) for whole, k in ranks.items() for i in range(1, len(whole)) if (a := ranks.get(whole[:i])) is not None and (b := ranks.get(whole[i:])) is not None]
         left, right, rank = (np.array(x, np.int32) for x in zip(*pairs, strict=True))
         least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max, np.int32)  # of the pairs that a token can enter
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self._load("merges", {"l": left, "r": right, "k": rank, "safe": least[rank] > rank})
-        self._load("vocabulary", {"tok": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [x.decode("latin-1") for x in ranks]})
+        self.tables = {"merges": {"l": left, "r": right, "k": rank, "safe": least[rank] > rank}, "vocabulary": {"tok": np.fromiter(ranks.values(), np.int32, len(ranks)), "bytes": [x.decode("latin-1") for x in ranks]}}
+        self.sql = None
         self.decimals = pa.array([str(i) for i in range(max(ranks.values()) + 1)])
 
+    def open(self) -> None:
+        import duckdb
+
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        for name, columns in self.tables.items():
+            self._load(name, columns)
+
+    def close(self) -> None:
+        """DuckDB gives the memory of its queries back only here."""
+        self.sql.close()
+        self.sql = None
+
     def _load(self, name: str, columns: dict) -> None:
         self.sql.register("arrow_in", pa.table(columns))
         self.sql.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_in")
@@ -168,13 +181,19 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _codec(vocabulary) -> Codec:
-    """The process's codec; what it knows is bounded and stays for the next tasks."""
+@contextmanager
+def _codec(vocabulary) -> Iterator[Codec]:
+    """The process's codec, open for a task; the words that it knows are bounded and stay for the next tasks."""
     key, ranks, pattern = vocabulary.value
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+    codec = _codecs[key]
+    codec.open()
+    try:
+        yield codec
+    finally:
+        codec.close()
 
 
 def _broadcast(df: DataFrame, path: str, pattern: str | None):
@@ -191,15 +210,15 @@ def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for whole in batches:
-            for part in parts(whole):
-                made, size = codec.ids(part.column(part.num_columns - 1))
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(made.astype(np.int32)))
-                back = pa.array(codec.decode(made, size) if decoded or checked else [], pa.binary())
-                if checked and not back.equals(part.column(part.num_columns - 1).cast(pa.binary())):
-                    raise ValueError("ids that don't decode to their text")
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *[back] * bool(decoded)], names=[f.name for f in schema])
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for part in parts(whole):
+                    made, size = codec.ids(part.column(part.num_columns - 1))
+                    lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(made.astype(np.int32)))
+                    back = pa.array(codec.decode(made, size) if decoded or checked else [], pa.binary())
+                    if checked and not back.equals(part.column(part.num_columns - 1).cast(pa.binary())):
+                        raise ValueError("ids that don't decode to their text")
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *[back] * bool(decoded)], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -211,13 +230,13 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str, ...]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                part = whole.slice(i, 500)
-                lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
-                size = np.fromiter(map(len, lists), np.int64, len(lists))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(np.concatenate([*lists, np.empty(0, np.int32)]), size), pa.binary())], names=[f.name for f in schema])
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for i in range(0, whole.num_rows, 500):
+                    part = whole.slice(i, 500)
+                    lists = [np.array([i for i in x or () if i is not None], np.int32) for x in part.column(part.num_columns - 1).to_pylist()]
+                    size = np.fromiter(map(len, lists), np.int64, len(lists))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(codec.decode(np.concatenate([*lists, np.empty(0, np.int32)]), size), pa.binary())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -229,11 +248,11 @@ def digests(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ..
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for whole in batches:
-            for part in parts(whole):
-                ids, size = codec.ids(part.column(part.num_columns - 1))
-                back = [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, size)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size), pa.array(codec.digests(ids, size), pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
+        with _codec(vocabulary) as codec:
+            for whole in batches:
+                for part in parts(whole):
+                    ids, size = codec.ids(part.column(part.num_columns - 1))
+                    back = [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, size)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size), pa.array(codec.digests(ids, size), pa.string()), pa.array(back, pa.string())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)

@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs
+    in one process. A cluster without the setting is an error, as its executors couldn't read each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tsymbol-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsymbol.llm.split import parts
+
+#: Bytes of text that are measured together.
+SLICE = 3_000_000
 #: Words of the base rule's repeats.
 BASE_WORDS = 5
 
@@ -182,17 +186,6 @@ def _measure(texts: list[bytes], rules: Rules) -> dict[str, np.ndarray]:
 MEASURES = T.StructType([T.StructField(n, T.BooleanType() if n in ("base_failed", "kept") else T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")])
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text (the last column), one row at least."""
-    size = np.cumsum([len(x) for x in batch.column(batch.num_columns - 1).to_pylist()])
-    begun = 0
-    while begun < batch.num_rows:
-        before = size[begun - 1] if begun else 0
-        stop = max(begun + 1, int(np.searchsorted(size, before + most, side="right")))
-        yield batch.slice(begun, stop - begun)
-        begun = stop
-
-
 def measure(df: DataFrame, rules: Rules | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, the counts, base_failed, kept (the verdict) and longest_repeat of each row. No shuffle."""
     rules = rules or Rules()
@@ -201,7 +194,7 @@ def measure(df: DataFrame, rules: Rules | None = None, *, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in _slices(whole):
+            for part in parts(whole, SLICE):
                 got = _measure(part.column(part.num_columns - 1).to_pylist(), rules)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(got[f.name]) for f in MEASURES)], names=[f.name for f in schema])
 
@@ -217,7 +210,7 @@ def keep_good(df: DataFrame, rules: Rules | None = None, *, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in _slices(whole):
+            for part in parts(whole, SLICE):
                 kept = _measure(part.column(part.num_columns - 1).to_pylist(), rules)["kept"]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=columns).filter(pa.array(kept))
 
