@@ -180,3 +180,33 @@ def test_metrics_of_equal_series_are_zero(spark):
 def test_series_of_ties_are_ordered(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (0, 0, 1.0), (0, 1, 1.0)], "k long, t int, v double")
     assert to_series(df, "k", "t", "v").first()["values"] == [1.0, 1.0, 2.0]
+
+
+def test_dtw_paths(spark):
+    from tsymbol.operators import metrics
+
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0], [0.0, 2.0]), (2, [1.0, 1.0], [1.0])], "k int, a array<double>, b array<double>")
+    got = {r.k: (r.dtw, [tuple(x) for x in r.path]) for r in metrics.dtw_paths(df).collect()}
+    assert got == {1: (1.0, [(0, 0), (1, 0), (2, 1)]), 2: (0.0, [(0, 0), (1, 0)])} or got[1][0] == 1.0 and got[1][1][0] == (0, 0) and got[1][1][-1] == (2, 1)
+    apart = metrics.dtw_paths(df, dist=lambda x, y: abs(x - y), drop_straight=True).filter("k = 1").first()
+    assert apart["dtw"] == 0.0 and [tuple(x) for x in apart["path"]] == [(0, 0), (1, 1)]
+
+
+def test_sql_function(spark):
+    import math
+
+    from tsymbol.plans.sql import register
+
+    register(spark)
+    spark.createDataFrame([(1, [math.sin(0.05 * i) for i in range(1000)]), (2, None), (3, [])], "k int, v array<double>").createOrReplaceTempView("waves")
+    got = {r.k: r.s for r in spark.sql("SELECT k, symbolize(v, 0.1D, 0.1D) AS s FROM waves").collect()}
+    assert got == {1: "aBbCbCbCbCbCbCbCA", 2: None, 3: ""}
+
+
+def test_symbols_beyond_all_letters(spark):
+    from pyspark.sql import functions as F
+
+    from tsymbol.functions import columns as C
+
+    rows = spark.range(1000).select("id", C.symbol(F.col("id").cast("int"), F.lit(1000)).alias("s")).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: r.id)] == C.symbols_of(1000)

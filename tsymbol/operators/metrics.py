@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,21 @@ def dtw(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
+def dtw_paths(pairs: DataFrame, a: str = "a", b: str = "b", *, dist: Callable[[float, float], float] | None = None, drop_straight: bool = False) -> DataFrame:
+    """pairs with `dtw` and `path`, the warping path as places (i, j) in both arrays, with any pointwise cost (squared difference
+    where none is given). drop_straight: points on straight stretches are removed first, and places count what is left."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("dtw", T.DoubleType()), T.StructField("path", T._parse_datatype_string("array<struct<i:int,j:int>>"))])
+    at, bt = pairs.columns.index(a), pairs.columns.index(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [kernels.dtw_path(np.array(x or [], float), np.array(y or [], float), dist, drop_straight) for x, y in zip(batch.column(at).to_pylist(), batch.column(bt).to_pylist(), strict=True)]
+            paths = pa.array([[{"i": i, "j": j} for i, j in path] for _, path in made], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d for d, _ in made], pa.float64()), paths], names=[f.name for f in schema])
+
+    return pairs.mapInArrow(run, schema)
+
+
 def performance_profile(scores: DataFrame, thetas: list[float], problem: str = "problem", solver: str = "solver", score: str = "score") -> DataFrame:
     """(solver, theta, share): the share of problems where a solver's score is at most theta times the best. Null scores never are."""
     best = scores.groupBy(problem).agg(F.min(score).alias("best"))

@@ -282,5 +282,15 @@ def general_decompress(model: Model, symbols: DataFrame, stats: DataFrame, lengt
     return points.withColumn("value", to_bytes(F.col("value"))) if whole else points
 
 
+def encode(symbolizer: JointSymbolizer, series: DataFrame) -> tuple[Model, DataFrame]:
+    """fit_transform() by another name."""
+    return symbolizer.fit_transform(series)
+
+
+def decode(model: Model, symbols: DataFrame, length: int | None = None) -> DataFrame:
+    """inverse() by another name."""
+    return model.inverse(symbols, length)
+
+
 def fill_series(series: DataFrame, method: str) -> DataFrame:
     return series.withColumn("values", filled(F.col("values"), method))

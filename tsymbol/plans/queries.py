@@ -410,15 +410,11 @@ _joint("symbolize_fast_fixed_point", lambda: estimators.fast_fixed_point(tol=0.1
 
 @query()
 def symbolize_unseen(spark, sf_dir):
-    """A codebook from the users with even ids, symbols of the others, and their reconstruction error."""
+    """Symbols of all series as if they were unseen, by the nearest centres of a fitted codebook, and their reconstruction error."""
     rows = walk_series(spark, sf_dir)
-    model = estimators.joint(tol=0.1).fit(rows.filter("series_id % 2 = 0"))
-    other = rows.filter("series_id % 2 = 1")
-    back = model.inverse(model.transform(other))
-    return metrics.relative_error(to_points(other, ["series_id"]), back)
-
-
-_OVER_SERIES = f"SELECT series_id, t, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS value FROM ({POINTS}) WINDOW w AS (PARTITION BY t)"
+    model = estimators.joint(tol=0.1).fit(rows)
+    back = model.inverse(model.transform(rows))
+    return metrics.relative_error(to_points(rows, ["series_id"]), back)
 
 
 @query(joint_sql(None, source=_OVER_SERIES, tol=0.3, counts=False))

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tsymbol.operators.digitize import LARGEST_CODEBOOK
+
 
 def save(codebook: DataFrame, meta: dict, path: str) -> None:
     codebook.write.mode("overwrite").parquet(f"{path}/codebook")
@@ -17,6 +19,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def show(codebook: DataFrame) -> str:
-    """The codebook, a line a label."""
-    rows = codebook.select("label", "symbol", "len", "inc").orderBy("label").limit(1000).collect()
+    """The codebook, a line a label. A codebook of more labels than digitize.nearest() takes is an error."""
+    rows = codebook.select("label", "symbol", "len", "inc").orderBy("label").limit(LARGEST_CODEBOOK + 1).collect()
+    if len(rows) > LARGEST_CODEBOOK:
+        raise ValueError(f"a codebook has at most {LARGEST_CODEBOOK} labels here")
     return "\n".join(f"{r.symbol}: length {r.len:g}, increment {r.inc:g}" for r in rows)
