@@ -53,7 +53,9 @@ def test_run_equals_plain_python(spark, tmp_path):
         assert ids == encode(by_id[i][0])
         taken[by_id[i][1]] = taken.get(by_id[i][1], 0) + len(by_id[i][0].split())
     want = levels(sizes, mixing.Mix())
-    assert 0 < len(docs) < 66 and all(abs(taken.get(s, 0) - want[s]) <= 60 for s in sizes)
+    # a source's words come as near as half of the document at its limit, each of which has a bucket of its own here
+    largest = {s: max(len(t.split()) for _, t, x in docs if x == s) for s in sizes}
+    assert 0 < len(docs) < 66 and all(abs(taken.get(s, 0) - want[s]) <= largest[s] / 2 for s in sizes)
 
 
 def test_stages_keep_the_columns(spark):
