@@ -81,3 +81,27 @@ def test_checked_encoding(spark, monkeypatch):
     codec.open()
     ids, size = codec.ids(pa.array(["abc def"]))
     assert codec.decode(ids[::-1], size) != [b"abc def"]
+
+
+def letters(n, alphabet="abcdefghijklmnopqrstuvwxyz"):
+    return "".join(random.choices(alphabet, k=n))
+
+
+def test_long_words_equal_the_library(reference):
+    """Random and periodic words of all lengths around the windows', with windows that share no token."""
+    random.seed(2)
+    words = [letters(random.randint(40, 400), "abcdefghijklmnopqrstuvwxyzé"[: random.randint(1, 27)]) for _ in range(300)]
+    words += [letters(random.randint(1, 13)) * random.randint(20, 200) for _ in range(60)]
+    words += [letters(300) + "a" * 2000 + letters(300), letters(7) * 3000, "é" * 3000, "=-" * 2000, "x" * 97]
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    codec.open()
+    ids, size = codec.learn(words)
+    want = [reference._core_bpe.encode_single_piece(w.encode()) for w in words]
+    assert size.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_word_of_a_million_letters(spark, reference):
+    random.seed(4)
+    word = letters(1_000_000)
+    got = bpe.encode(spark.createDataFrame([(1, word)], "doc_id long, text string"), PATH, checked=True).first()
+    assert list(got.ids) == reference.encode_ordinary(word)

@@ -6,8 +6,10 @@ goes on until no word has a pair left. Decoding joins token rows with the vocabu
 position. Each distinct word is encoded once for a batch of texts; a process keeps the ids of some, within a bound.
 
 Defined results: a null text counts as empty; an empty text has no ids, the empty digest and the empty decoded text. Repeated rows each give a row.
-Extra columns of the input are kept where `columns` names them. A word of any length is encoded exactly: long ones take the
-form of the query that contracts all occurrences of a pair at once where no new pair could come earlier.
+Extra columns of the input are kept where `keep` names them. A word of any length is encoded exactly. Long ones go through the query in
+overlapping windows: a window's tokens are those of its bytes, tokens next to each other in it stand so in any text that has them
+next to each other as a valid encoding, and so two windows that share a token at one place make one encoding there. Windows that share none become one
+window, and these take the form of the query that contracts all occurrences of a pair at once, up to the first that gives birth to a pair of lower rank.
 """
 
 from __future__ import annotations
@@ -28,16 +30,20 @@ from pyspark.sql import types as T
 
 from tsymbol.llm.split import TextIds, parts
 
-#: Words of more bytes take the form of the query for long words.
+#: Words of more bytes are cut into windows.
 LONG = 48
+#: Bytes of a window, half of which it shares with the next.
+WINDOW = 96
+#: Windows that go through one query.
+WINDOWS = 2_000
 #: Ids that go through one query that decodes.
 DECODED = 500_000
 #: Distinct words that go through one query.
 BATCH = 20_000
 #: Strings whose ids a process keeps.
 KNOWN = 100_000
-#: Steps of a query for long words, after which it starts again from its last rows.
-STEPS = 48
+#: Rows that a query for joined windows keeps at most, all steps together; then it starts again from its last rows.
+KEPT = 6_000_000
 
 SHORT_SQL = """
 WITH RECURSIVE s(step, word, pos, npos, tok, nxt) AS (
@@ -63,10 +69,16 @@ WITH RECURSIVE s(step, word, pos, tok) AS (
   (WITH p AS (
      SELECT n.*, m.k, m.safe FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM s WHERE step < {steps}) n
      LEFT JOIN merges m ON n.tok = m.l AND n.nxt = m.r),
-   b AS (SELECT word, min(k) AS best, arg_min(pos, k::BIGINT << 32 | pos) AS first FROM p WHERE k IS NOT NULL GROUP BY word),
-   i AS (SELECT p.*, b.first, coalesce(p.k = b.best, false) AS fits, row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS n FROM p JOIN b ON p.word = b.word),
+   b AS (SELECT word, min(k) AS best FROM p WHERE k IS NOT NULL GROUP BY word),
+   i AS (SELECT p.*, b.best, coalesce(p.k = b.best, false) AS fits, row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS n FROM p JOIN b ON p.word = b.word),
    r AS (SELECT *, n - coalesce(max(CASE WHEN NOT fits THEN n END) OVER (PARTITION BY word ORDER BY pos), 0) AS nth FROM i),
-   c AS (SELECT *, fits AND CASE WHEN safe THEN nth % 2 = 1 ELSE pos = first END AS hit FROM r),
+   f AS (SELECT *, fits AND nth % 2 = 1 AS fine FROM r),
+   v AS (SELECT *, CASE WHEN lag(fine, 2, false) OVER w THEN best ELSE lag(tok) OVER w END AS before, lead(tok, 2) OVER w AS after FROM f WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   e AS (
+     SELECT v.*, coalesce(x.k < v.best, false) OR coalesce(y.k < v.best, false) AS birth FROM v
+     LEFT JOIN merges x ON x.l = CASE WHEN v.fine AND NOT v.safe THEN v.before END AND x.r = v.best
+     LEFT JOIN merges y ON y.l = CASE WHEN v.fine AND NOT v.safe THEN v.best END AND y.r = v.after),
+   c AS (SELECT *, fine AND NOT coalesce(bool_or(birth) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM e),
    d AS (SELECT *, lag(hit, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM c)
    SELECT step + 1, word, pos, CASE WHEN hit THEN k ELSE tok END FROM d WHERE NOT gone)
 )
@@ -117,28 +129,86 @@ class Codec:
         self.sql.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_in")
         self.sql.unregister("arrow_in")
 
+    def _rows(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        """word, pos and tok of every byte."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return {"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}
+
+    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word number, place and token of every final row, in order."""
+        rows = self._rows(words)
+        ends = np.append(rows["word"][1:] != rows["word"][:-1], True)[: len(rows["word"])]
+        self._load("rows_in", rows | {"npos": np.where(ends, -1, rows["pos"] + 1).astype(np.int32), "nxt": np.where(ends, -1, np.append(rows["tok"][1:], -1)[: len(ends)]).astype(np.int32)})
+        got = self.sql.execute(SHORT_SQL).fetchnumpy()
+        self.sql.execute("DROP TABLE rows_in")
+        return got["word"], got["pos"], got["tok"]
+
+    def _joined(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Place and token of every final row of a window of any length."""
+        left = self._rows([word])
+        while True:
+            steps = int(np.clip(KEPT // max(1, len(left["tok"])), 1, 48))
+            self._load("long_in", left)
+            got = self.sql.execute(LONG_SQL.format(steps=steps)).fetchnumpy()
+            self.sql.execute("DROP TABLE long_in")
+            left = {n: got[n] for n in ("word", "pos", "tok")}
+            if not len(got["step"]) or got["step"][0] < steps:
+                return left["pos"], left["tok"]
+
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, from windows that are joined where they share a token at one place."""
+        half = WINDOW // 2
+        spans = [[(at, min(at + WINDOW, len(w))) for at in range(0, max(1, len(w) - half), half)] for w in words]
+        made: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            todo = [(w, lo, hi) for w, mine in enumerate(spans) for lo, hi in mine if (w, lo, hi) not in made]
+            if not todo:
+                break
+            small = [x for x in todo if x[2] - x[1] <= WINDOW]
+            for i in range(0, len(small), WINDOWS):
+                part = small[i : i + WINDOWS]
+                window, pos, tok = self._short([words[w][lo:hi] for w, lo, hi in part])
+                cuts = np.searchsorted(window, np.arange(1, len(part)))
+                for key, p, t in zip(part, np.split(pos, cuts), np.split(tok, cuts), strict=True):
+                    made[key] = (p + key[1], t)
+            for w, lo, hi in todo:
+                if hi - lo > WINDOW:
+                    pos, tok = self._joined(words[w][lo:hi])
+                    made[w, lo, hi] = (pos + lo, tok)
+            for w in {w for w, *_ in todo}:
+                mine, last = spans[w][:1], spans[w][0]
+                for span in spans[w][1:]:
+                    if self._meet(made[w, *last], made[w, *span]) is None:
+                        mine[-1] = (mine[-1][0], span[1])
+                    else:
+                        mine.append(span)
+                    last = span
+                spans[w] = mine
+        return [self._stitch([made[w, lo, hi] for lo, hi in mine]) for w, mine in enumerate(spans)]
+
+    @staticmethod
+    def _meet(a, b) -> int | None:
+        """The place of a token that both windows have, the middle one of all."""
+        pos, i, k = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        pos = pos[a[1][i] == b[1][k]]
+        return int(pos[len(pos) // 2]) if len(pos) else None
+
+    def _stitch(self, windows: list) -> np.ndarray:
+        cuts = [self._meet(a, b) for a, b in zip(windows[:-1], windows[1:], strict=True)]
+        out = []
+        for (pos, tok), lo, hi in zip(windows, [0, *cuts], [*cuts, np.iinfo(np.int64).max], strict=True):
+            out.append(tok[(pos >= lo) & (pos < hi)])
+        return np.concatenate(out)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word number and token of every final row, in order."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-        pos = (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        long = size[word] > LONG
-        ends = np.append(word[1:] != word[:-1], True)
-        npos, nxt = np.where(ends, -1, pos + 1).astype(np.int32), np.where(ends, -1, np.append(tok[1:], -1)).astype(np.int32)
-        self._load("rows_in", {n: x[~long] for n, x in (("word", word), ("pos", pos), ("npos", npos), ("tok", tok), ("nxt", nxt))})
-        got = self.sql.execute(SHORT_SQL).fetchnumpy()
-        words_out, toks_out = [got["word"]], [got["tok"]]
-        left = (word[long], pos[long], tok[long])
-        while len(left[0]):
-            self._load("long_in", dict(zip(("word", "pos", "tok"), left, strict=True)))
-            got = self.sql.execute(LONG_SQL.format(steps=STEPS)).fetchnumpy()
-            again = got["step"] >= STEPS
-            words_out.append(got["word"][~again])
-            toks_out.append(got["tok"][~again])
-            left = (got["word"][again], got["pos"][again], got["tok"][again])
-        self.sql.execute("DROP TABLE IF EXISTS rows_in; DROP TABLE IF EXISTS long_in")
-        word, tok = np.concatenate(words_out), np.concatenate(toks_out)
+        short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
+        word, _, tok = self._short([words[i] for i in short])
+        parts_of = self._long([words[i] for i in long])
+        word = np.concatenate([short[word], np.repeat(long, [len(x) for x in parts_of])])
+        tok = np.concatenate([tok, *parts_of])
         order = np.argsort(word, kind="stable")
         return word[order], tok[order]
 
