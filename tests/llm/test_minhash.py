@@ -1,5 +1,6 @@
 import random
 import re
+from math import comb
 
 import numpy as np
 import pytest
@@ -52,16 +53,17 @@ def corpus(n_families=12, size=8):
     return rows
 
 
-@pytest.mark.parametrize("percent, shingle, tile", [(85, 3, 1024), (80, 5, 3)])
-def test_components_equal_brute_force(spark, percent, shingle, tile):
-    near = mh.Near(percent=percent, shingle=shingle, tile=tile, band_miss=1e-6)
+@pytest.mark.parametrize("settings", [{"percent": 85, "shingle": 3}, {"percent": 80, "shingle": 5, "tile": 3}])
+def test_components_equal_brute_force(spark, settings):
+    near = mh.Near(**settings)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "x", 0) for i, t in rows], SCHEMA)
     got = sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in mh.link(df, near).collect())
     assert got == brute(rows, near)
 
 
-def test_family_around_the_threshold(spark):
+@pytest.mark.parametrize("tiles", [{"tile": 16}, {"tile_items": 200}])
+def test_family_around_the_threshold(spark, tiles):
     """Many texts whose pairs lie on both sides of the threshold: buckets that a star can't settle."""
     random.seed(7)
     base = [f"w{k}" for k in range(60)]
@@ -71,7 +73,7 @@ def test_family_around_the_threshold(spark):
         for k in random.sample(range(60), random.randint(1, 5)):
             text[k] = f"x{i}.{k}"
         rows.append((i, " ".join(text)))
-    near = mh.Near(percent=85, shingle=3, tile=16, band_miss=1e-9, miss=1e-9)
+    near = mh.Near(percent=85, shingle=3, **tiles)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in mh.link(df, near).collect()) == brute(rows, near)
 
@@ -90,6 +92,18 @@ def test_empty(spark):
     assert mh.link(df).count() == 0 and mh.dedup(df).count() == 0
 
 
+@pytest.mark.parametrize("near", [mh.Near(85, 3), mh.Near(80, 5)])
+def test_losses_at_the_threshold(near):
+    """The exact chances, for a pair of just the least similarity, to share no band and to be dropped by any of the looks."""
+    t, lost, still = near.percent / 100, 0.0, np.ones(1)
+    batch = np.array([comb(near.batch, m) * t**m * (1 - t) ** (near.batch - m) for m in range(near.batch + 1)])
+    for least in mh.least_equal(near.percent, near.batch, near.permutations, near.miss):
+        still = np.convolve(still, batch)
+        lost += still[:least].sum()
+        still[:least] = 0
+    assert lost < 2e-5 and (1 - t**near.rows) ** (near.permutations // near.rows) < 1e-5
+
+
 def test_sequential_bounds():
     least = mh.least_equal(80, 32, 256, 1e-4)
     assert len(least) == 8 and list(least) == sorted(least) and least[-1] < 0.8 * 256

@@ -9,7 +9,8 @@
    into its pairs, and no candidate pair that could join two components is left out.
 
 Verification compares signatures in batches of `batch` minima. With a uniform prior for the similarity, m equal minima of n
-leave P(similarity >= t | m, n) = P(Binomial(n + 1, t) <= m); a pair is dropped once that is below `miss`.
+leave P(similarity >= t | m, n) = P(Binomial(n + 1, t) <= m); a pair is dropped once that is below `miss` divided by the number
+of batches, so that all looks together stay within `miss`.
 
 Defined results: null and blank texts have an empty set, link with nothing and are their own component. Fewer words than a
 shingle make the whole sequence one shingle. Rows that share a doc_id are linked only by their texts. The component's id is
@@ -37,15 +38,17 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Near:
     """percent: least Jaccard similarity, of 100; shingle: words; permutations: minima of a signature; band_miss: largest
-    chance that a pair of just that similarity shares no band; miss: that of a wrong drop in verification."""
+    chance that a pair of just that similarity shares no band; miss: that of a wrong drop in verification, all batches together;
+    tile, tile_items: nodes and shingles that a part of a bucket holds on average, two parts making a tile."""
 
     percent: int = 80
     shingle: int = 5
     permutations: int = 256
-    band_miss: float = 1e-3
-    miss: float = 1e-4
+    band_miss: float = 1e-5
+    miss: float = 1e-5
     batch: int = 32
     tile: int = 1024
+    tile_items: int = 4_000_000
     seed: int = 11
 
     @property
@@ -132,10 +135,10 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 @lru_cache
 def least_equal(percent: int, batch: int, permutations: int, miss: float) -> tuple[int, ...]:
     """After each batch, the fewest equal minima with which a pair goes on."""
-    t, out = percent / 100, []
-    for n in range(batch, permutations + 1, batch):
+    t, out, looks = percent / 100, [], range(batch, permutations + 1, batch)
+    for n in looks:
         total, m = 0.0, -1
-        while total < miss:
+        while total < miss / len(looks):
             m += 1
             total += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
         out.append(m)
@@ -272,9 +275,10 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
     full = sketch.filter("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "rep", "bands"), "near-classes")
-    member = classes.select("node", F.explode("bands").alias("key"))
-    shared = materialise(member.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
-    member = materialise(member.join(shared, "key"), "near-members")
+    member = classes.select("node", "n", F.explode("bands").alias("key"))
+    shared = materialise(member.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).filter("size > 1"), "near-buckets")
+    chunks = F.ceil(F.greatest(F.col("size") / near.tile, F.col("items") / near.tile_items)).cast("int").alias("chunks")
+    member = materialise(member.drop("n").join(shared.select("key", "leader", "size", chunks), "key"), "near-members")
     star = member.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     # exact sets of the nodes that share a bucket, from the texts of one row each
     ids = member.select("node").distinct().join(classes.select("node", "rep", "n", "s1", "s2"), "node")
@@ -288,13 +292,12 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
     links = links.unionAll(more)
     comp = materialise(components(links), "near-components")
     # what is still apart within a bucket
-    now = member.join(comp, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    now = member.join(comp, "node", "left").select("key", "node", "size", "chunks", F.coalesce("comp", "node").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b and a is not null").select("key")
     # a bucket of two was compared whole as a star
     left = now.filter("size > 2").join(mixed, "key").join(sets, "node")
-    chunks = F.ceil(F.col("size") / near.tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    left = left.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     open_ = left.select("key", F.least("mine", "other").alias("cx"), F.greatest("mine", "other").alias("cy"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig", "items")
     found = materialise(_settle(open_, near), "near-links")
     if not found.isEmpty():
