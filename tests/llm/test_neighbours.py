@@ -38,6 +38,17 @@ def test_equals_brute_force(spark, monkeypatch, block):
         assert [s for *_, s in sorted(found)] == pytest.approx([s for s, _ in want[q]], rel=1e-14)
 
 
+def test_doubles_and_overflow(spark, monkeypatch):
+    """Doubles whose squares overflow have infinite distances, ties to smaller ids; fine differences of doubles aren't lost."""
+    monkeypatch.setattr(nn, "AT_ONCE", 2)
+    rows = [(0, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1e200, 1.0 + 1e-9]), (3, [5.0, 5.0]), (100, [5.0, 5.0 + 1e-12]), (4, [5.0, 5.0 + 1.5e-12]), (200, [1.0, 1.0]), (300, [1e200, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(nn.search(df, df.filter("vec_id % 100 = 0"), 3).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [2, 300, 1], 100: [4, 3, 200], 200: [3, 100, 4], 300: [2, 0, 1]}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nn.search(df, df).count() == 0
