@@ -294,6 +294,7 @@ def link(df: DataFrame, near: Near | None = None, *, text: str = "text", key: st
     # what is still apart within a bucket
     now = member.join(comp, "node", "left").select("key", "node", "size", "chunks", F.coalesce("comp", "node").alias("comp"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b and a is not null").select("key")
+    mixed = materialise(mixed, "near-mixed")  # so that the join with it is no part of the aggregate's stage and can split a hot bucket
     # a bucket of two was compared whole as a star
     left = now.filter("size > 2").join(mixed, "key").join(sets, "node")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
