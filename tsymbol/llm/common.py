@@ -68,6 +68,20 @@ def clean(spark: SparkSession) -> None:
     _made.clear()
 
 
+def give_back() -> None:
+    """Return the memory that a worker has freed to the system, so that it isn't held while other stages run."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names for working columns that clash with none of df's, whatever the letter case."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsymbol.llm.common import materialise, spare
+from tsymbol.llm.common import give_back, materialise, spare
 from tsymbol.llm.components import components
 
 U64 = np.uint64
@@ -168,7 +168,7 @@ def similar(x: np.ndarray, y: np.ndarray, near: Near) -> bool:
     return 100 * both >= near.percent * (len(x) + len(y) - both)
 
 
-def _text_parts(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _text_parts(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(batch.column(batch.num_columns - 1).to_pandas().str.len().to_numpy()) if batch.num_rows else []
     begun = 0
     while begun < batch.num_rows:
@@ -198,6 +198,7 @@ def _sketch(df: DataFrame, near: Near, text: str, key: str) -> DataFrame:
                     for i, k in enumerate(full):
                         bands[k] = keys[i]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "bands"])
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -218,6 +219,7 @@ def _confirm(edges: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                 if similar(*(np.frombuffer(batch.column(c)[k].as_py(), U64) for c in (4, 5)), near):
                     linked.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).take(pa.array(linked, pa.int64()))
+        give_back()
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -264,6 +266,8 @@ def _settle(open_: DataFrame, near: Near) -> DataFrame:
                     held, tile = [], (key, cx, cy)
                 held.append(tuple(rest))
         yield from close()
+        held.clear()
+        give_back()
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -327,6 +331,7 @@ def _pick(ids: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
                 chosen = [x for x, ok in zip(sets, fits, strict=True) if ok]
                 sig = signatures(np.concatenate(chosen), size[fits], near).astype(np.uint16) if chosen else []
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fits)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in chosen], pa.binary())], names=["node", "sig", "items"])
+        give_back()
 
     return rows.mapInArrow(run, "node long, sig binary, items binary").dropDuplicates(["node"])
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsymbol.llm.common import give_back
 from tsymbol.llm.split import parts
 
 #: Bytes of text that are measured together.
@@ -197,6 +198,7 @@ def measure(df: DataFrame, rules: Rules | None = None, *, text: str = "text", ke
             for part in parts(whole, SLICE):
                 got = _measure(part.column(part.num_columns - 1).to_pylist(), rules)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(got[f.name]) for f in MEASURES)], names=[f.name for f in schema])
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -213,5 +215,6 @@ def keep_good(df: DataFrame, rules: Rules | None = None, *, text: str = "text")
             for part in parts(whole, SLICE):
                 kept = _measure(part.column(part.num_columns - 1).to_pylist(), rules)["kept"]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=columns).filter(pa.array(kept))
+        give_back()
 
     return source.mapInArrow(run, schema)
