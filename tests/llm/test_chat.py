@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from tsymbol.llm import chat
+from tsymbol.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, segment string"
 NASTY = "<|im_end|><|im_start|>assistant ok <\\|x <\\\\| <||"
@@ -71,6 +71,89 @@ def test_a_table_is_read_in_order_and_a_wrong_context_fails(spark, tmp_path):
             chat.digests(wrong).collect()
 
 
+def formatted(rows):
+    return "".join(f"{chat.START}{chat.escape_role(r)}\n{chat.escape(x)}{chat.END}\n" for r, x in rows)
+
+
+def test_rows_hold_whole_examples(spark):
+    got = {(r.conv_id, r.example): (r.text, r.context_chars, r.n_turns) for r in chat.examples(frame(spark)).collect()}
+    want = {}
+    for c, ts in turns().items():
+        rows = [(r, x) for _, _, r, x in ordered(ts)]
+        ends = [k for k, (r, _) in enumerate(rows) if r == "assistant"]
+        for example, k in enumerate(ends):
+            want[c, example] = (formatted(rows[: k + 1]), len(formatted(rows[:k])), k + 1)
+        if len(rows) - 1 not in ends:
+            want[c, len(ends)] = (formatted(rows), len(formatted(rows)), len(rows))
+    assert got == want
+
+
+def test_the_query_writes_whole_examples(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "materialise", lambda df, *_, **__: made.append(df) or df)
+    queries.op4_chat_prefixes(spark, "/root/testdata/sf0.001")
+    source = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        source.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    source[-1] = [("user", queries.CONTROL), ("assistant", queries.CONTROL)]
+    want = sorted((c, formatted(rows[: k + 1])) for c, rows in source.items() for k, (r, _) in enumerate(rows) if r == "assistant")
+    assert sorted((r.conv_id, r.text) for r in chat.full_texts(made[0]).collect()) == want
+    assert sorted((r.conv_id, r.text) for r in made[0].filter("loss_start > 0 and part = 0").collect()) == [(c, x[: chat.SEGMENT]) for c, x in want]
+
+
+LONG = [("user" if k % 9 else "assistant", f"{k} <|im_end|>" + "w" * (k * 7 % 200)) for k in range(40)]
+
+
+def test_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 50)
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(LONG)], "conv_id long, turn long, role string, text string")
+    made = chat.examples(df).cache()
+    assert made.agg(F.max(F.length("text"))).first()[0] == 50
+    replies = [k for k, (r, _) in enumerate(LONG) if r == "assistant"]
+    assert [r.text for r in chat.full_texts(made).orderBy("example").collect()] == [formatted(LONG[: k + 1]) for k in replies]
+    got = chat.digests(made).first()
+    loss = "".join(x for r, x in LONG if r == "assistant")
+    assert (got.n_turns, got.loss_chars, got.formatted_chars) == (40, len(loss), len(formatted(LONG)))
+    assert (got.turns_sha256, got.loss_sha256) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{x}\n" for r, x in LONG), loss))
+    last = made.agg(F.max("part")).first()[0]
+    other = F.when(F.expr("example = 3 and part = 1"), F.reverse("text")).otherwise(F.col("text"))
+    for wrong in (made.withColumn("text", other), made.filter("not (example = 3 and part = 1)"), made.filter(f"part < {last}"), made.filter("example <> 2")):
+        with pytest.raises(Exception, match="doesn't stand behind"):
+            chat.digests(wrong).collect()
+
+
+def test_a_changed_context_fails(spark):
+    made = chat.examples(frame(spark))
+    later = F.when(F.expr("conv_id = 1 and example = 1"), F.replace("text", F.lit("é"), F.lit("e"))).otherwise(F.col("text"))
+    with pytest.raises(Exception, match="doesn't stand behind"):
+        chat.digests(made.withColumn("text", later)).collect()
+
+
+def test_a_long_way_to_a_reply_is_read_turn_by_turn(monkeypatch):
+    monkeypatch.setattr(chat, "HELD", 100)
+    text, context = formatted(LONG), len(formatted(LONG[:36]))
+    reply = formatted(LONG[36:37])
+    spans = (context, context + reply.index("\n") + 1, context + len(reply) - len(chat.END) - 1, 37)
+    reader, most = chat._Reader(1), 0
+    for part, at in enumerate(range(0, context + len(reply), 50)):
+        new = text[at : min(at + 50, context + len(reply))]
+        reader.add(0, part, chat._NOTHING, 0, hashlib.sha256(new.encode()).digest(), new, spans)
+        most = max(most, reader.n_new)
+    _, n_turns, _, loss_chars, _, size = reader.result()
+    assert (n_turns, loss_chars, size) == (37, len(LONG[36][1]), context + len(reply)) and most < 1000
+
+
+def test_full_parts_go_to_a_file(monkeypatch):
+    monkeypatch.setattr(chat, "SPOOL", 10)
+    parts = chat._Parts()
+    for made in (["é" * 5, "abc", "d" * 30], ["x"]):
+        for k, x in enumerate(made):
+            parts.add(x)
+            assert list(parts) == made[: k + 1]
+        parts.clear()
+        assert list(parts) == []
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat.digests(chat.examples(df)).count() == 0

@@ -1,11 +1,9 @@
 """Chat formatting with prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are context, only its reply is trainable. A row of
-the output holds what an example adds to the one before (`segment`: the turns since the last reply, and the reply), the
-characters of context before it, and the span of the reply in the segment. An example's whole text is the concatenation of
-its conversation's segments up to its own; full_texts() writes it out. So the output grows with the input, not with the
-square of a conversation's length. Turns after the last reply make a row without a span, as do stretches of over
-`SEGMENT` characters without a reply.
+Every assistant turn becomes an example of its own: its text is all turns before it and its reply, of which only the reply is
+trainable. The rows hold every example whole, so the output grows with the square of a conversation's replies. Texts of over
+`SEGMENT` characters are cut into parts, a row each, so that rows stay small; full_texts() puts them together. Turns after the
+last reply make a last example without a reply, whose text is the whole conversation.
 
 A turn is `<|im_start|>role`, a line feed, the text, `<|im_end|>` and a line feed. Inside texts and roles every `<`, k
 backslashes and `|` gets one more backslash, so that no text holds a control string, and taking one away restores it;
@@ -19,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters without a reply after which a row is written all the same.
-SEGMENT = 1_000_000
+#: Characters of a part. Readers hold some thousand rows at once.
+SEGMENT = 16_384
+#: Characters of the rows that are written at once.
+HELD = 4_000_000
+#: Bytes of a conversation that a task holds in memory; more go to a file of its own.
+SPOOL = 64_000_000
 
 _escape = re.compile(r"<(\\*)\|").sub
 _unescape = re.compile(r"<\\(\\*)\|").sub
-_turn = re.compile(r"<\|im_start\|>([^\n]*)\n((?:(?!<\|).)*)<\|im_end\|>\n", re.DOTALL).finditer
+_turn = re.compile(r"<\|im_start\|>([^\n]*+)\n([^<]*+(?:<(?!\|)[^<]*+)*+)<\|im_end\|>\n").finditer
 
 
 def escape(text: str) -> str:
@@ -51,33 +55,74 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def parse(segment: str) -> Iterator[tuple[str, str]]:
-    """Role and text of every turn of a segment."""
-    for m in _turn(segment):
+def parse(text: str) -> Iterator[tuple[str, str]]:
+    """Role and text of every turn of a formatted text."""
+    for m in _turn(text):
         yield unescape_role(m[1]), unescape(m[2])
 
 
+class _Parts:
+    """The full parts of a conversation's text, which every further example repeats."""
+
+    def __init__(self) -> None:
+        self.file, self.sizes = tempfile.SpooledTemporaryFile(max_size=SPOOL), []
+
+    def add(self, text: str) -> None:
+        self.file.seek(0, 2)
+        self.sizes.append(self.file.write(text.encode()))
+
+    def clear(self) -> None:
+        if self.sizes:
+            self.file.seek(0)
+            self.file.truncate()
+            self.sizes = []
+
+    def __iter__(self) -> Iterator[str]:
+        self.file.seek(0)
+        for n in self.sizes:
+            yield self.file.read(n).decode()
+
+
 def _schema(key: T.StructField) -> T.StructType:
-    return T.StructType([key, *(T.StructField(n, t, False) for n, t in (("example", T.LongType()), ("segment", T.StringType()), ("context_chars", T.LongType()), ("loss_start", T.LongType()), ("loss_end", T.LongType()), ("n_turns", T.LongType())))])
+    return T.StructType([key, *(T.StructField(n, t, False) for n, t in (("example", T.LongType()), ("part", T.LongType()), ("text", T.StringType()), ("known_chars", T.LongType()), ("context_chars", T.LongType()), ("loss_start", T.LongType()), ("loss_end", T.LongType()), ("n_turns", T.LongType())))])
 
 
 def examples(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conversation, example, segment, context_chars, loss_start, loss_end, n_turns); rows of a conversation follow each other in order.
-    One shuffle by conversation with a spilling sort; a conversation streams through a task and is never held as a whole."""
+    """(conversation, example, part, text, known_chars, context_chars, loss_start, loss_end, n_turns): the examples' whole texts, in
+    parts; rows of a conversation follow each other in order. Of a part's characters the first `known_chars` are the example's
+    before too. Context, the reply's span and turns are the whole example's. One shuffle by conversation with a spilling sort; a
+    task holds SPOOL bytes of a conversation at most, and a conversation's examples are written by one task."""
     rows = df.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     schema = _schema(T.StructField(conversation, rows.schema["c"].dataType))
     rows = rows.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, begun, example, before, turns, parts, size = None, False, 0, 0, 0, [], 0
+        now, begun, example, turns, size, known = None, False, 0, 0, 0, 0
+        full, last, left = _Parts(), [], 0
         out: list[tuple] = []
         held = 0
 
-        def close(start: int, end: int) -> None:
-            nonlocal example, before, turns, parts, size, held
-            out.append((now, example, "".join(parts), before, start, end, turns))
-            example, before, held = example + 1, before + size, held + size
-            turns, parts, size = 0, [], 0
+        def add(piece: str) -> None:
+            nonlocal last, left, size, turns
+            last.append(piece)
+            left, size, turns = left + len(piece), size + len(piece), turns + 1
+            if left >= SEGMENT:
+                whole = "".join(last)
+                cut = left - left % SEGMENT
+                for at in range(0, cut, SEGMENT):
+                    full.add(whole[at : at + SEGMENT])
+                last, left = [whole[cut:]], left - cut
+
+        def close(context: int, start: int, end: int) -> Iterator[pa.RecordBatch]:
+            """The example of all turns so far."""
+            nonlocal example, known, last, held
+            last = ["".join(last)]
+            for part, piece in enumerate(chain(full, last if left else ())):
+                out.append((now, example, part, piece, min(max(known - part * SEGMENT, 0), len(piece)), context, start, end, turns))
+                held += len(piece)
+                if held > HELD or len(out) >= 5000:
+                    yield flush()
+            example, known = example + 1, size
 
         def flush() -> pa.RecordBatch:
             nonlocal out, held
@@ -91,22 +136,17 @@ def examples(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn"
         for batch in batches:
             for c, r, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if not begun or c != now:
-                    if parts:
-                        close(0, 0)
-                    now, begun, example, before = c, True, 0, 0
-                head, body = f"{START}{escape_role(r)}\n", escape(x)
-                parts.append(f"{head}{body}{END}\n")
-                start = size + len(head)
-                size += len(parts[-1])
-                turns += 1
+                    if size > known:
+                        yield from close(size, 0, 0)
+                    now, begun, example, turns, size, known = c, True, 0, 0, 0, 0
+                    full.clear()
+                    last, left = [], 0
+                context, head, body = size, f"{START}{escape_role(r)}\n", escape(x)
+                add(f"{head}{body}{END}\n")
                 if r == "assistant":
-                    close(start, start + len(body))
-                elif size > SEGMENT:
-                    close(0, 0)
-                if held > 4 * SEGMENT or len(out) >= 5000:
-                    yield flush()
-        if parts:
-            close(0, 0)
+                    yield from close(context, context + len(head), context + len(head) + len(body))
+        if size > known:
+            yield from close(size, 0, 0)
         if out:
             yield flush()
 
@@ -114,29 +154,116 @@ def examples(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn"
 
 
 def full_texts(made: DataFrame, *, conversation: str = "conv_id") -> DataFrame:
-    """Each example with its whole text written out, and the reply's span in it. Grows with the square of a conversation's replies."""
-    later = made.filter("loss_end > 0 or loss_start > 0").select(F.col(conversation).alias("c"), F.col("example").alias("to"), "context_chars", "loss_start", "loss_end")
-    pieces = made.select(F.col(conversation).alias("c"), "example", "segment")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "segment"))), lambda x: x["segment"]), "")
-    both = later.join(pieces, later.c.eqNullSafe(pieces.c) & (F.col("example") <= F.col("to"))).drop(pieces.c)
-    return both.groupBy("c", "to", "context_chars", "loss_start", "loss_end").agg(text.alias("text")).select(F.col("c").alias(conversation), F.col("to").alias("example"), "text", (F.col("context_chars") + F.col("loss_start")).alias("loss_start"), (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+    """Each reply's example with its text in one piece, and the reply's span in it."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")
+    return made.filter("loss_start > 0").groupBy(conversation, "example", "loss_start", "loss_end").agg(text.alias("text")).select(conversation, "example", "text", "loss_start", "loss_end")
+
+
+_NOTHING = hashlib.sha256().digest()
+
+
+class _Reader:
+    """Reads a conversation's examples in order and holds each one's context against the whole text of the one before."""
+
+    def __init__(self, key: object) -> None:
+        self.key, self.example, self.parts = key, -1, []  # of each part so far: digest and characters
+        self.n_turns, self.turns, self.loss_chars, self.loss = 0, hashlib.sha256(), 0, hashlib.sha256()
+        self.begin(())
+
+    def begin(self, spans: tuple) -> None:
+        self.spans, self.part, self.size = spans, 0, 0
+        self.new, self.n_new, self.most = [], 0, HELD
+
+    def hold(self, right: bool) -> None:
+        if not right:
+            raise ValueError(f"example {self.example} of conversation {self.key} doesn't stand behind the whole example before it, or its parts, reply or number of turns are wrong")
+
+    def add(self, example: int, part: int, before: bytes, known: int, whole: bytes, new: str, spans: tuple) -> None:
+        if example != self.example:
+            self.end()
+            self.example += 1
+            self.begin(spans)
+        old = self.parts[part] if part < len(self.parts) else (_NOTHING, 0)
+        self.hold((example, part, spans, before, known) == (self.example, self.part, self.spans, *old) and not (new and part + 1 < len(self.parts)))
+        self.parts[part : part + 1] = [(whole, known + len(new))]
+        self.part, self.size = part + 1, self.size + known + len(new)
+        self.new.append(new)
+        self.n_new += len(new)
+        if self.n_new > self.most:  # a long way to the reply: only the turn that isn't complete yet is held
+            self.read()
+            self.most = max(HELD, 2 * self.n_new)
+
+    def read(self) -> str:
+        """Read what is complete of the new turns before the reply; what is left."""
+        text = "".join(self.new)
+        done, context = 0, self.spans[0] - self.size + len(text)
+        self.hold(context >= 0)
+        for m in _turn(text, 0, context):
+            self.hold(m.start() == done)
+            self.turn(m)
+            done = m.end()
+        self.new, self.n_new = [text[done:]], len(text) - done
+        return self.new[0]
+
+    def turn(self, m: re.Match) -> None:
+        self.turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+        self.n_turns += 1
+
+    def end(self) -> None:
+        if self.example < 0:
+            return
+        context, start, end, n_turns = self.spans
+        rest = self.read()
+        at = self.size - len(rest)
+        self.hold(self.part == len(self.parts) and at == context)
+        if start:
+            m = next(_turn(rest), None)
+            self.hold(m is not None and m.span() == (0, len(rest)) and m[1] == "assistant" and m.span(2) == (start - at, end - at))
+            self.turn(m)
+            reply = unescape(rest[start - at : end - at])
+            self.loss.update(reply.encode())
+            self.loss_chars += len(reply)
+        self.hold(self.n_turns == n_turns)
+
+    def result(self) -> tuple:
+        self.end()
+        return self.key, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.size
 
 
 def digests(made: DataFrame, *, conversation: str = "conv_id") -> DataFrame:
     """What reading the rows of examples() back gives for each conversation: its turns, and all text under the loss mask.
 
-    The examples of a conversation are read in order, each as all segments before it and its own: its reply is where its span
-    lies in that whole text, and it must find the context and as many turns as its row says. A table with examples missing,
-    twice or out of place so fails, and doesn't give other digests."""
-    made = made.repartition(conversation).sortWithinPartitions(conversation, "example").select(conversation, "example", "segment", "context_chars", "loss_start", "loss_end", "n_turns")
-    schema = T.StructType([made.schema[conversation], T.StructField("n_turns", T.LongType(), False), T.StructField("turns_sha256", T.StringType(), False), T.StructField("loss_chars", T.LongType(), False), T.StructField("loss_sha256", T.StringType(), False), T.StructField("formatted_chars", T.LongType(), False)])
+    Every example is read whole, where its rows lie: the digest of what it should share with the example before, that of its whole
+    text, and what it adds. Only these are shuffled. Then the examples of a conversation are read in order: each must begin with
+    all of the one before, its reply must be a turn of the assistant where its span lies, behind all context, and it must have
+    as many turns as its row says. A table with a context changed, examples or parts missing, twice or out of place so fails, and
+    doesn't give other digests."""
+    key = made.schema[conversation]
+    names = ("context_chars", "loss_start", "loss_end", "n_turns")
+    fields = (("example", T.LongType()), ("part", T.LongType()), ("before", T.BinaryType()), ("known", T.LongType()), ("whole", T.BinaryType()), ("new", T.StringType()), *((n, T.LongType()) for n in names))
+    read = T.StructType([key, *(T.StructField(n, t, False) for n, t in fields)])
+    schema = T.StructType([key, T.StructField("n_turns", T.LongType(), False), T.StructField("turns_sha256", T.StringType(), False), T.StructField("loss_chars", T.LongType(), False), T.StructField("loss_sha256", T.StringType(), False), T.StructField("formatted_chars", T.LongType(), False)])
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(read)
+        for batch in batches:
+            before, whole, new = [], [], []
+            for text, known in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                digest = hashlib.sha256(text[:known].encode())
+                before.append(digest.digest())
+                new.append(text[known:])
+                digest.update(new[-1].encode())
+                whole.append(digest.digest())
+            arrays = [pa.array(before, pa.binary()), batch.column(4), pa.array(whole, pa.binary()), pa.array(new, arrow.field("new").type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays, *batch.columns[5:]], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        now, begun, out = None, False, []
-        n, chars, total, turns, loss, expected = 0, 0, 0, hashlib.sha256(), hashlib.sha256(), 0
+        reader, out = None, []
 
         def flush() -> pa.RecordBatch:
             nonlocal out
@@ -145,27 +272,18 @@ def digests(made: DataFrame, *, conversation: str = "conv_id") -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         for batch in batches:
-            for c, example, segment, context, start, end, adds in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if not begun or c != now:
-                    if begun:
-                        out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
-                    now, begun, n, chars, total, turns, loss, expected = c, True, 0, 0, 0, hashlib.sha256(), hashlib.sha256(), 0
-                before = n
-                for role, text in parse(segment):
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                if (example, context, adds) != (expected, total, n - before):
-                    raise ValueError(f"example {example} of conversation {c} doesn't stand behind {expected} others with {total} characters, or hasn't {adds} turns of its own")
-                expected += 1
-                # the span lies behind the context, of which `total` characters have been read
-                trained = unescape(segment[context + start - total : context + end - total])
-                loss.update(trained.encode())
-                chars, total = chars + len(trained), total + len(segment)
+            for c, example, part, before, known, whole, new, *spans in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if reader is None or c != reader.key:
+                    if reader is not None:
+                        out.append(reader.result())
+                    reader = _Reader(c)
+                reader.add(example, part, before, known, whole, new, tuple(spans))
                 if len(out) >= 5000:
                     yield flush()
-        if begun:
-            out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+        if reader is not None:
+            out.append(reader.result())
         if out:
             yield flush()
 
-    return made.mapInArrow(run, schema)
+    rows = made.select(conversation, "example", "part", "text", "known_chars", *names).mapInArrow(shorten, read)
+    return rows.repartition(conversation).sortWithinPartitions(conversation, "example", "part").mapInArrow(run, schema)

@@ -41,10 +41,10 @@ def own(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return own(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 

@@ -35,7 +35,7 @@ def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what reading the formatted conversations back gives."""
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     made = chat.examples(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(own))
-    return chat.digests(materialise(made, "chat-examples"))
+    return chat.digests(materialise(made, "chat-examples", compression="zstd"))  # finds the contexts that examples repeat
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
