@@ -210,3 +210,18 @@ def test_symbols_beyond_all_letters(spark):
 
     rows = spark.range(1000).select("id", C.symbol(F.col("id").cast("int"), F.lit(1000)).alias("s")).collect()
     assert [r.s for r in sorted(rows, key=lambda r: r.id)] == C.symbols_of(1000)
+
+
+def test_best_scores_meet_themselves_in_a_profile(spark):
+    """Scores that come out differently each time they are worked out, as averages do whose parts arrive in another order."""
+    import random
+
+    import pandas as pd
+
+    def score(batches):
+        for b in batches:
+            yield b.assign(score=[1 + random.SystemRandom().random() for _ in range(len(b))])
+
+    pairs = spark.createDataFrame(pd.DataFrame([(p, s) for p in range(50) for s in "ab"], columns=["problem", "solver"]))
+    made = metrics.performance_profile(pairs.mapInPandas(score, "problem long, solver string, score double"), [1.0]).collect()
+    assert sum(r.share for r in made) == pytest.approx(1.0)

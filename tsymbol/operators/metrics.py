@@ -66,9 +66,10 @@ def dtw_paths(pairs: DataFrame, a: str = "a", b: str = "b", *, dist: Callable[[f
 
 def performance_profile(scores: DataFrame, thetas: list[float], problem: str = "problem", solver: str = "solver", score: str = "score") -> DataFrame:
     """(solver, theta, share): the share of problems where a solver's score is at most theta times the best. Null scores never are."""
-    best = scores.groupBy(problem).agg(F.min(score).alias("best"))
     n = scores.select(problem).distinct().count()
-    rows = scores.join(best, problem).withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
+    # a window, as a join would work scores out twice: averages added up in another order then miss themselves at theta 1
+    best = scores.filter(F.col(problem).isNotNull()).withColumn("best", F.min(score).over(Window.partitionBy(problem)))
+    rows = best.withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
     fits = F.when(F.col(score) <= F.col("theta") * F.col("best"), 1.0).otherwise(0.0)
     return rows.groupBy(solver, "theta").agg((F.sum(fits) / n).alias("share"))
 
