@@ -225,3 +225,14 @@ def test_best_scores_meet_themselves_in_a_profile(spark):
     pairs = spark.createDataFrame(pd.DataFrame([(p, s) for p in range(50) for s in "ab"], columns=["problem", "solver"]))
     made = metrics.performance_profile(pairs.mapInPandas(score, "problem long, solver string, score double"), [1.0]).collect()
     assert sum(r.share for r in made) == pytest.approx(1.0)
+
+
+def test_a_class_is_digested_without_a_row_that_holds_it(spark):
+    """No row of the plan may be longer than a sequence."""
+    from hashlib import md5
+
+    rows = [(1, 1, None), (2, 5, [""]), (2, 1, ["a", "é"]), (2, 2, None), (2, 3, []), (2, 4, ["b", None, "c"]), (3, 1, []), (None, 2, ["y"]), (None, 1, ["x"])]
+    df = spark.createDataFrame(rows, "label int, doc long, seq array<string>")
+    want = {1: "", 2: "a é b c ", 3: "", None: "x y"}
+    assert {r.label: r.digest for r in encoders.class_digests(df).collect()} == {k: md5(v.encode()).hexdigest() for k, v in want.items()}
+    assert "collect_list" not in encoders.class_digests(df)._jdf.queryExecution().toString()
