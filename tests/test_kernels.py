@@ -114,3 +114,14 @@ def test_symbols():
     assert symbols_of(2, ["x", "y"]) == ["x", "y"]
     with pytest.raises(ValueError):
         symbols_of(3, ["x", "y"])
+
+
+@pytest.mark.parametrize("sorting", ["norm", "lexi", "pca"])
+def test_points_in_parts_are_grouped_as_all_at_once(sorting):
+    points = np.round(np.random.default_rng(5).normal(size=(5000, 2)), 1 if sorting != "pca" else 6)
+    key, order = kernels.sort_keys(points, sorting)
+    want, starts = kernels.group_greedily(points, 0.2, sorting)
+    groups = kernels.Groups(0.2, part=64)
+    label, first = groups.take(key[order], points[order])
+    assert label.tolist() == want[order].tolist() and order[first].tolist() == starts.tolist()
+    assert len(groups.label) < len(starts) / 2  # starts out of reach are let go
