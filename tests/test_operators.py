@@ -236,3 +236,14 @@ def test_a_class_is_digested_without_a_row_that_holds_it(spark):
     want = {1: "", 2: "a é b c ", 3: "", None: "x y"}
     assert {r.label: r.digest for r in encoders.class_digests(df).collect()} == {k: md5(v.encode()).hexdigest() for k, v in want.items()}
     assert "collect_list" not in encoders.class_digests(df)._jdf.queryExecution().toString()
+
+
+def test_nearest_meets_centres_in_batches(spark):
+    rng = np.random.default_rng(2)
+    book, points = np.round(rng.normal(size=(1000, 2)), 1), np.round(rng.normal(size=(3000, 2)), 1)
+    pieces = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "i int, len double, inc double")
+    made = digitize.nearest(pieces, spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(book)], "label int, len double, inc double"))
+    want = [int(((p - book) ** 2).sum(1).argmin()) for p in points]
+    assert [r.label for r in made.orderBy("i").collect()] == want
+    plan = made._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "array_min" not in plan  # no array of a struct a centre for each piece
