@@ -247,3 +247,18 @@ def test_nearest_meets_centres_in_batches(spark):
     assert [r.label for r in made.orderBy("i").collect()] == want
     plan = made._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "array_min" not in plan  # no array of a struct a centre for each piece
+
+
+def test_coded_sequences_give_what_joins_give(spark):
+    rows = [(5, ["x", None, "a"]), (3, ["b", "a", "b"]), (9, None), (4, []), (7, ["", "a"])]
+    df = spark.createDataFrame(rows, "doc long, seq array<string>").coalesce(1)
+    ids, total = {"b": 1, "a": 2, "x": 3, None: 4, "": 5}, {"b": 2, "a": 3, "x": 1, "": 1}
+    assert {r.token: r.id for r in encoders.dictionary(df).collect()} == ids
+    pairs = {(d, t) for d, seq in rows for t in seq or [] if t is not None}
+    bow = encoders.bag_of_words(df)
+    assert "CoGroups" in bow._jdf.queryExecution().toString()  # a token is joined once a part, not once a document
+    assert sorted(tuple(r) for r in bow.collect()) == sorted((d, ids[t], float(total[t])) for d, t in pairs)
+    assert sorted(tuple(r) for r in encoders.one_hot(df).collect()) == sorted((d, ids[t], 1.0) for d, t in pairs)
+    assert {r.doc: r.ids for r in encoders.categorical(df).collect()} == {5: [3, 2], 3: [1, 2, 1], 9: [], 4: [], 7: [5, 2]}
+    again = df.unionAll(df)
+    assert sorted(tuple(r) for r in encoders.bag_of_words(again).collect()) == sorted((d, ids[t], 2.0 * total[t]) for d, t in pairs)
