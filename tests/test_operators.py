@@ -262,3 +262,12 @@ def test_coded_sequences_give_what_joins_give(spark):
     assert {r.doc: r.ids for r in encoders.categorical(df).collect()} == {5: [3, 2], 3: [1, 2, 1], 9: [], 4: [], 7: [5, 2]}
     again = df.unionAll(df)
     assert sorted(tuple(r) for r in encoders.bag_of_words(again).collect()) == sorted((d, ids[t], 2.0 * total[t]) for d, t in pairs)
+
+
+def test_classes_of_coded_sequences(spark):
+    df = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["c"]), (3, ["z"]), (4, None)], "doc long, seq array<string>")
+    weights = spark.createDataFrame([("p", "a", 1.0), ("p", "b", 1.0), ("q", "c", 2.0), ("q", "b", 1.0)], "label string, token string, weight double")
+    made = encoders.classify(df, weights)
+    assert "CoGroups" in made._jdf.queryExecution().toString()
+    got = {r.doc: (r.label, round(r.distance, 9)) for r in made.collect()}
+    assert got == {1: ("p", round(1 - 3 / 10**0.5, 9)), 2: ("q", round(1 - 2 / 5**0.5, 9)), 3: ("p", 1.0), 4: ("p", 1.0)}
